@@ -11,8 +11,6 @@ valid time; the highest mark on its path is the version that was recorded last.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -194,5 +192,3 @@ def usable(versions: DataFrame, valid_from: str = "valid_from", valid_to: str =
     """Rows whose half-open validity makes sense: a start, and no end or a later one."""
     return versions.filter(F.col(valid_from).isNotNull() & (F.col(valid_to).isNull() | (F.col(valid_to) > F.col(valid_from))))
 
-
-__all__: Iterable[str] = ["Forest", "known_as_of", "search", "usable"]

@@ -113,7 +113,33 @@ edges AS (
 versions AS (SELECT *, lead(changed_at) OVER (PARTITION BY tenant_id, customer_id ORDER BY changed_at) AS until FROM edges)
 SELECT tenant_id, customer_id, epoch_us(changed_at) AS from_us, coalesce(epoch_us(until), -1) AS to_us FROM versions WHERE NOT gone"""
 
+_UNWRAP = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid({0} ->> '$') THEN CAST({0} ->> '$' AS JSON) ELSE {0} END"
+#: All JSON values with their paths, level by level.
+NODES = f"""
+WITH RECURSIVE fields AS (
+  SELECT 'rule' AS object_type, record_id, 'activation' AS field, activation AS t FROM catalog_rules
+  UNION ALL SELECT 'rule', record_id, 'effect', effect FROM catalog_rules
+  UNION ALL SELECT 'metric', record_id, 'expression', expression FROM catalog_metrics
+  UNION ALL SELECT 'metric', record_id, 'population', population FROM catalog_metrics
+  UNION ALL SELECT 'relationship', record_id, 'predicates', predicates FROM catalog_relationships),
+whole AS (SELECT object_type, record_id, field, CAST(t AS JSON) AS v FROM (SELECT * FROM fields WHERE json_valid(t))),
+opened AS (SELECT object_type, record_id, field, {_UNWRAP.format("v")} AS v FROM whole),
+n AS (
+  SELECT object_type, record_id, field, CASE WHEN field = 'predicates' AND json_type(v) = 'OBJECT' THEN field || '[0]' ELSE field END AS path, CAST(NULL AS VARCHAR) AS parent, field AS key, v FROM opened
+  UNION ALL
+  SELECT object_type, record_id, field, path || CASE WHEN key IS NULL THEN '[' || i || ']' WHEN key IN ('predicates', 'args', 'members') AND json_type(v) = 'OBJECT' THEN '.' || key || '[0]' ELSE '.' || key END, path, key, v
+  FROM (
+    SELECT object_type, record_id, field, path, key, i, CASE WHEN key = 'predicate' THEN {_UNWRAP.format("v")} ELSE v END AS v
+    FROM (
+      SELECT object_type, record_id, field, path, NULL AS key, i, v -> CAST(i AS VARCHAR) AS v FROM (SELECT object_type, record_id, field, path, v, unnest(range(json_array_length(v))) AS i FROM n WHERE json_type(v) = 'ARRAY')
+      UNION ALL
+      SELECT object_type, record_id, field, path, k, NULL, json_extract(v, '$."' || k || '"') FROM (SELECT object_type, record_id, field, path, v, unnest(json_keys(v)) AS k FROM n WHERE json_type(v) = 'OBJECT'))))"""
+
 SQL = {
+    "p1_found": NODES + " SELECT object_type, record_id, path AS node_path FROM n WHERE json_type(v) = 'OBJECT'",
+    "p1_column_references": NODES
+    + """ SELECT object_type, lower(trim(v ->> '$')) AS column_id, count(*) AS n, count(DISTINCT record_id) AS n_records FROM n
+WHERE key IN ('column_ref', 'left_column', 'right_column') AND json_type(v) = 'VARCHAR' GROUP BY ALL""",
     "p2_found": _P2,
     "p3_found": _CHANGES + " SELECT object_type, snapshot_id, id, change FROM found",
     "p3_summary": _CHANGES + " SELECT object_type, snapshot_id, change, count(*) AS n FROM found GROUP BY ALL",
