@@ -15,9 +15,11 @@ aren't copied into every shard.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +59,11 @@ def covered_twice(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.n
     return set_runs(key[i], lo[i], np.minimum(hi[i], reach[i - 1]))
 
 
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """Equality of columns with those of the other side that carry an underscore; nulls match."""
+    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[f"_{n}"]) for n in names])
+
+
 def interval_runs(intervals: DataFrame, *, entity: list[str], start: str, end: str, shard_us: int = SHARD_US, groups: int | None = None) -> DataFrame:
     """Periods, gaps and overlaps of each entity's half-open intervals.
 
@@ -124,7 +131,9 @@ def interval_runs(intervals: DataFrame, *, entity: list[str], start: str, end: s
         return pa.concat_tables(out)
 
     found = bits.groupBy("grp").applyInArrow(runs, schema)
-    stitched = found.filter("not final").join(marked.select(*k, "shard", "through"), [*k, "shard"])
+    edges = found.filter("not final")
+    own = marked.select(*[F.col(n).alias(f"_{n}") for n in (*k, "shard")], "through")
+    stitched = edges.join(own, _same(edges, own, [*k, "shard"])).drop(*[f"_{n}" for n in (*k, "shard")])
     # A run goes on from the one before if both meet at a common shard edge, or if intervals
     # cover all the axis between their shards.
     by = Window.partitionBy("kind", *k).orderBy("lo")
@@ -137,13 +146,9 @@ def interval_runs(intervals: DataFrame, *, entity: list[str], start: str, end: s
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.struct("shard", "at_hi")).alias("end"))
     )
     # What reaches the end of an entity's last shard and is still covered there is open.
-    open_ends = shards.groupBy(*k).agg(F.sum("delta").alias("open_n"), F.max(F.when(F.col("n") > 0, F.col("shard"))).alias("last_shard"))
-    joined = [islands[c].eqNullSafe(open_ends[c]) for c in k]
-    on = joined[0]
-    for condition in joined[1:]:
-        on = on & condition
+    open_ends = shards.groupBy(*[F.col(n).alias(f"_{n}") for n in k]).agg(F.sum("delta").alias("open_n"), F.max(F.when(F.col("n") > 0, F.col("shard"))).alias("last_shard"))
     is_open = F.col("end.at_hi") & (F.col("end.shard") == F.col("last_shard")) & (F.col("open_n") >= need)
-    ended = islands.join(open_ends, on, "left").select("kind", *[islands[c] for c in k], "lo", F.when(F.coalesce(is_open, F.lit(False)), F.lit(-1)).otherwise(F.col("hi")).alias("hi"), "island")
+    ended = islands.join(open_ends, _same(islands, open_ends, k), "left").select("kind", *k, "lo", F.when(F.coalesce(is_open, F.lit(False)), F.lit(-1)).otherwise(F.col("hi")).alias("hi"))
     # Gaps between the stitched periods, unless final periods of a shard lie between, whose own
     # gaps are in already: those join a shard's first and last period, so only consecutive
     # periods of different shards are looked at.

@@ -16,6 +16,7 @@ from lodeplan.plans.answers import duplicates, prepare
 from lodeplan.plans.binding import Request, bind
 from lodeplan.plans.frames import attestations
 from lodeplan.plans.policy import Policy, Principal, decisions
+from lodeplan.queries.problem_sql import NODES
 from lodeplan.queries.problems import _flat
 from lodeplan.sources.tables import table
 
@@ -322,17 +323,33 @@ def publication_errors(spark, folder):
     return catalogs.unresolved([("relationship.left_table", refs("catalog_relationships", "left_table"), tables), ("relationship.right_table", refs("catalog_relationships", "right_table"), tables), ("metric.base_table", refs("catalog_metrics", "base_table"), tables), ("table.tenant_key", refs("catalog_tables", "tenant_key"), ids("catalog_columns"))])
 
 
+_CLOSURE = (
+    NODES
+    + """, named AS (
+  SELECT DISTINCT m.snapshot_id, m.id, m.version, lower(trim(v ->> '$')) AS column_id, CASE WHEN field = 'expression' THEN 'measure' ELSE 'population' END AS part
+  FROM n JOIN catalog_metrics m USING (record_id) WHERE object_type = 'metric' AND key = 'column_ref' AND json_type(v) = 'VARCHAR'),
+closure AS (SELECT *, regexp_replace(column_id, '\\.[^.]*$', '') AS table_id FROM named)"""
+)
+
+
 def _closure(spark: SparkSession, folder: str) -> DataFrame:
     values = _flat(spark, folder, ("string",)).filter("object_type = 'metric'")
     return catalogs.metric_closure(values, table(spark, folder, "catalog_metrics"))
 
 
-@query()
+@query(_CLOSURE + " SELECT snapshot_id, id, version, count(DISTINCT column_id) AS n_columns, count(DISTINCT table_id) AS n_tables, CAST(sum((part = 'measure')::INT) AS BIGINT) AS n_measure FROM closure GROUP BY ALL")
 def metric_closures(spark, folder):
     return _closure(spark, folder).groupBy("snapshot_id", "id", "version").agg(F.count_distinct("column_id").alias("n_columns"), F.count_distinct("table_id").alias("n_tables"), F.sum((F.col("part") == "measure").cast("long")).alias("n_measure"))
 
 
-@query()
+@query(
+    _CLOSURE
+    + """, a AS (
+  SELECT record_id, max(CASE WHEN key = 'op' THEN lower(v ->> '$') END) AS op, max(CASE WHEN key = 'object_id' THEN lower(v ->> '$') END) AS object_id
+  FROM n WHERE object_type = 'rule' AND field = 'activation' AND parent = 'activation' AND json_type(v) = 'VARCHAR' GROUP BY record_id),
+r AS (SELECT DISTINCT snapshot_id, id AS rule_id, op, object_id FROM a JOIN catalog_rules USING (record_id))
+SELECT DISTINCT c.snapshot_id, c.id AS metric_id, r.rule_id FROM closure c JOIN r ON r.snapshot_id = c.snapshot_id AND ((r.op = 'uses_column' AND r.object_id = c.column_id) OR (r.op = 'uses_table' AND r.object_id = c.table_id))"""
+)
 def rules_by_metric(spark, folder):
     values = _flat(spark, folder, ("string",)).filter("object_type = 'rule'")
     return catalogs.activated_rules(_closure(spark, folder), values, table(spark, folder, "catalog_rules"))

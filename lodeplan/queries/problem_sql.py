@@ -131,7 +131,7 @@ n AS (
   FROM (
     SELECT object_type, record_id, field, path, key, i, CASE WHEN key = 'predicate' THEN {_UNWRAP.format("v")} ELSE v END AS v
     FROM (
-      SELECT object_type, record_id, field, path, NULL AS key, i, v -> CAST(i AS VARCHAR) AS v FROM (SELECT object_type, record_id, field, path, v, unnest(range(json_array_length(v))) AS i FROM n WHERE json_type(v) = 'ARRAY')
+      SELECT object_type, record_id, field, path, NULL AS key, i, json_extract(v, '$[' || i || ']') AS v FROM (SELECT object_type, record_id, field, path, v, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS i FROM n WHERE json_type(v) = 'ARRAY')
       UNION ALL
       SELECT object_type, record_id, field, path, k, NULL, json_extract(v, '$."' || k || '"') FROM (SELECT object_type, record_id, field, path, v, unnest(json_keys(v)) AS k FROM n WHERE json_type(v) = 'OBJECT'))))"""
 
