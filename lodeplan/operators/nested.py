@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeplan.operators.arrays import starts
+from lodeplan.sources.tables import spread
 
 #: Bytes indexed at once in a task; a longer single text is indexed alone.
 SLICE_BYTES = 4 << 20
@@ -347,7 +348,8 @@ def flatten_json(records: DataFrame, *, record_id: str, fields: list[str], singl
     field, or the value of a key in ``embedded``, that is a string holding JSON counts as that
     JSON. Null, empty and invalid texts yield nothing, as does JSON null under ``kinds`` without
     ``scalar``. Of repeated keys in an object all values come out, under one path. Other columns
-    of ``records`` are ignored. No shuffle: each text is worked on where it is read.
+    of ``records`` are ignored. Each text is worked on where it is read; only an input of fewer
+    partitions than cores is spread over them first.
     """
     wanted = frozenset(KINDS.index(x) for x in kinds)
     single, embed = frozenset(singles), frozenset(embedded)
@@ -367,4 +369,4 @@ def flatten_json(records: DataFrame, *, record_id: str, fields: list[str], singl
                     table = pa.table([rows, pa.array([name] * len(rows), pa.string()), *[got[n] for n in ("node_path", "parent_path", "key", "slot", "kind", "value")]], names=schema.names)
                     yield from table.combine_chunks().to_batches(max_chunksize=50_000)
 
-    return narrow.mapInArrow(work, schema).withColumnRenamed("record_id", record_id)
+    return spread(narrow).mapInArrow(work, schema).withColumnRenamed("record_id", record_id)

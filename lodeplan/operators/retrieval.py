@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeplan.functions.text import prefixes, tokens
+from lodeplan.sources.tables import cut, spread
 
 K1, B = 1.5, 0.75
 FUSION = 60
@@ -43,7 +44,9 @@ def bm25(documents: DataFrame, queries: DataFrame, *, doc_id: str, text: str, k:
     aren't ranked. Only postings of tokens that occur in some query are built.
     """
     wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    indexed = documents.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"), (F.expr(keep) if keep else F.lit(True)).alias("kept")).withColumn("length", F.size("tokens"))
+    narrow = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.expr(keep) if keep else F.lit(True)).alias("kept")))
+    # Tokenized once and kept: the averages and the postings both read it.
+    indexed = cut(narrow.select("doc_id", "kept", tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens")))
     size = indexed.agg(F.avg("length").alias("avg_length"), F.sum(F.col("kept").cast("long")).alias("n")).first()
     if not size["n"] or not size["avg_length"]:
         return wanted.select("query_id", F.lit(None).cast(documents.schema[doc_id].dataType).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)

@@ -36,3 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lodeplan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as the cluster has cores, if it comes in fewer.
+
+    For work that is heavy per row and would otherwise be bound to the few row groups of a small
+    file. Large inputs come in more partitions and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
