@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeplan.llm.tokens import TOKENIZER, encoder, token_bytes
+from lodeplan.sources.tables import spread
 
 #: Items packed together in one task group.
 GROUP_ROWS = 50_000
@@ -162,7 +163,7 @@ def items(documents: DataFrame, *, doc_id: str, text: str, capacity: int, tokeni
             ids = batch.column("id").take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(size, pa.int64())], names=schema.names)
 
-    return documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(work, schema)
+    return spread(documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))).mapInArrow(work, schema)
 
 
 def fill_containers(documents: DataFrame, *, doc_id: str, text: str, capacity: int, tokenizer: str = TOKENIZER, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeplan.llm.tokens import CLASSES, count_tokens, token_starts
+from lodeplan.sources.tables import spread
 
 #: Ranks of boundaries: 1 to 6 are headings of that level.
 PARAGRAPH, BLOCK, ITEM, LINE, MARKUP, SENTENCE, TOKEN = 7, 8, 9, 13, 14, 15, 16
@@ -175,7 +176,8 @@ def split_documents(documents: DataFrame, *, doc_id: str, text: str, limit: int,
     and the piece's ``text`` if asked for. A text within the limit, an empty one included, is one
     piece; a null text is one piece of size 0 with null text. A piece runs to the start of the next
     one's own part, so white space at a boundary stays with the piece before it. Repeated rows are
-    split each. ``overlap`` must be less than ``limit``. Other columns are ignored; no shuffle.
+    split each. ``overlap`` must be less than ``limit``. Other columns are ignored. Texts are split
+    where they are read; only an input of fewer partitions than cores is spread first.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
@@ -202,7 +204,7 @@ def split_documents(documents: DataFrame, *, doc_id: str, text: str, limit: int,
             columns = [batch.column("id").take(pa.array(small)), zero.cast(pa.int32()), one, zero, chars, zero, pa.array(sizes[small]), pa.array(["whole"] * len(small), pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [own] * with_text, names=schema.names)
 
-    return documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(work, schema)
+    return spread(documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))).mapInArrow(work, schema)
 
 
 def _batch(batch: pa.RecordBatch, row: list[int], found: list[tuple], schema: T.StructType) -> pa.RecordBatch:

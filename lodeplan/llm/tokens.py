@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeplan.sources.tables import spread
+
 #: Where the public vocabulary lies unless a caller says otherwise.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the byte-level vocabularies.
@@ -87,7 +89,7 @@ def measured(documents: DataFrame, *, doc_id: str, text: str, keep: list[str] =
     """``doc_id``, the ``keep`` columns and ``n_tokens`` of every row; null texts have size 0.
 
     ``tokenizer`` is the path of a vocabulary, None the plain measure. Only the named columns are
-    read; no shuffle.
+    read.
     """
     columns = [doc_id, *keep]
     schema = T.StructType([documents.schema[c] for c in columns] + [T.StructField("n_tokens", T.LongType())])
@@ -103,4 +105,4 @@ def measured(documents: DataFrame, *, doc_id: str, text: str, keep: list[str] =
                 sizes = np.array([0 if t is None else len(encode(t)) for t in texts.to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(f"c{i}") for i in range(len(columns))], pa.array(sizes)], names=schema.names)
 
-    return narrow.mapInArrow(work, schema)
+    return spread(narrow).mapInArrow(work, schema)
