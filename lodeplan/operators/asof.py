@@ -13,17 +13,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeplan.functions.keys import salted
 from lodeplan.operators.arrays import codes, longs, ranks, starts
 from lodeplan.sources.tables import cut
 
 OPEN = np.iinfo(np.int64).max
 #: Events of one task's group; entities with more are split over several groups.
 SHARD_ROWS = 50_000
+#: Time slices of an entity with more versions than that.
+SLICES = 256
 
 
 class Forest:
@@ -103,6 +104,29 @@ def search(entity: np.ndarray, known: np.ndarray, valid: np.ndarray, v_entity: n
     return found
 
 
+def _slice(at: str) -> Column:
+    """The time slice of an instant: how many of the entity's cut points it has reached."""
+    return F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col(at))))
+
+
+def _sliced(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """Each version in the slices whose events may need it.
+
+    Events of a slice know of nothing recorded after the slice. Versions that begin or end in a
+    slice, or were recorded in it, go there as they are: three copies at most. Of those that cover
+    a slice whole and were recorded before it, every event of the slice knows all, so only the last
+    is ever taken; it is found by an aggregate that shrinks to a row per slice before the shuffle.
+    """
+    placed = versions.withColumn("i", _slice("vf")).withColumn("r", _slice("rec")).withColumn("j", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("vt")))))
+    within = F.array_distinct(F.filter(F.array("i", "j", "r"), lambda s: (s >= F.col("i")) & (s <= F.col("j")) & (s >= F.col("r"))))
+    copies = placed.withColumn("slice", F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(within))).drop("i", "j", "r")
+    first = F.greatest("i", "r") + 1
+    rest = [c for c in versions.columns if c not in keys]
+    whole = placed.filter(F.col("cuts").isNotNull() & (first < F.col("j"))).withColumn("slice", F.explode(F.sequence(first, F.col("j") - 1)))
+    last = whole.groupBy(*keys, "slice").agg(F.max_by(F.struct(*rest), F.struct("rec", "vf", "vid")).alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in rest], "slice")
+    return copies.unionByName(last)
+
+
 def known_as_of(
     events: DataFrame,
     versions: DataFrame,
@@ -132,36 +156,46 @@ def known_as_of(
     Entities are spread over tasks by hash in groups of about ``shard_rows`` events. ``weights``
     (entity + n) bounds the entities' numbers of events; entities above ``shard_rows`` are split
     into several groups, each with its own copy of the entity's versions. Without ``weights`` the
-    events are counted, which reads them once more. The versions of one entity are taken to fit
-    in a task.
+    events are counted, which reads them once more.
+
+    An entity with more than ``shard_rows`` versions is cut into time slices (see
+    :func:`_sliced`) if ``valid_at`` and ``known_at`` are one column; if they differ, all versions
+    of an entity go to each of its groups.
     """
-    spark = events.sparkSession
     if weights is None:
         weights = events.groupBy(*entity).agg(F.count(F.lit(1)).alias("n"))
     if expected_rows is None:
         expected_rows = weights.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-expected_rows // shard_rows))
-    hot = cut(weights.filter(F.col("n") > shard_rows).select(*entity, F.ceil(F.col("n") / shard_rows).cast("int").alias("_splits")))
+    keys = [f"k{i}" for i in range(len(entity))]
+    own = versions.dropna(subset=[*entity, valid_from, recorded_at]).filter(F.col(valid_to).isNull() | (F.col(valid_to) > F.col(valid_from)))
+    own = own.select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.unix_micros(valid_from).alias("vf"), F.coalesce(F.unix_micros(valid_to), F.lit(OPEN)).alias("vt"), F.unix_micros(recorded_at).alias("rec"), F.col(version_id).alias("vid"))
+    busy = weights.filter(F.col("n") > shard_rows).select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], F.col("n").alias("n_events"))
+    cuts = F.lit(None).cast("array<bigint>").alias("cuts")
+    if valid_at == known_at:
+        # Cut points of the few entities with very many versions; for all others there are none.
+        many = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows)
+        points = F.array_distinct(F.percentile_approx("vf", [i / SLICES for i in range(1, SLICES)], F.lit(10_000)))
+        dense = own.join(many.select(*keys), keys, "left_semi").groupBy(*keys).agg(points.alias("cuts"))
+        busy = busy.join(dense, keys, "full_outer")
+    else:
+        busy = busy.withColumn("cuts", cuts)
+    slices = F.size(F.coalesce("cuts", F.array().cast("array<bigint>"))) + 1
+    hot = cut(busy.select(*keys, F.greatest(F.lit(1), F.ceil(F.coalesce("n_events", F.lit(0)) / shard_rows / slices)).cast("int").alias("splits"), "cuts"))
 
     ids = [F.col(c).alias(f"e{i}") for i, c in enumerate(event_id)]
-    keys = [f"k{i}" for i in range(len(entity))]
-    splits = F.coalesce("_splits", F.lit(1))
-    shard = F.pmod(F.xxhash64(*keys, "salt"), F.lit(shards)).cast("int").alias("shard")
+    splits = F.coalesce("splits", F.lit(1))
+    shard = F.pmod(F.xxhash64(*keys, "slice", "salt"), F.lit(shards)).cast("int").alias("shard")
     left = (
         events.dropna(subset=[*entity, valid_at, known_at])
-        .join(hot, entity, "left")
-        .select(*ids, *[F.col(c).alias(k) for c, k in zip(entity, keys)], F.unix_micros(valid_at).alias("valid"), F.unix_micros(known_at).alias("known"), F.pmod(F.xxhash64(*event_id), splits).cast("int").alias("salt"))
-        .withColumn("shard", shard)
-        .drop("salt")
-    )
-    right = (
-        versions.dropna(subset=[*entity, valid_from, recorded_at])
-        .filter(F.col(valid_to).isNull() | (F.col(valid_to) > F.col(valid_from)))
-        .join(hot, entity, "left")
-        .select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], *[F.col(c).alias(k) for c, k in zip(entity, keys)], F.unix_micros(valid_from).alias("vf"), F.coalesce(F.unix_micros(valid_to), F.lit(OPEN)).alias("vt"), F.unix_micros(recorded_at).alias("rec"), F.col(version_id).alias("vid"), F.explode(F.sequence(F.lit(0), splits - 1)).alias("salt"))
+        .select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], *ids, F.unix_micros(valid_at).alias("valid"), F.unix_micros(known_at).alias("known"))
+        .join(hot, keys, "left")
+        .withColumn("slice", _slice("valid"))
+        .withColumn("salt", F.pmod(F.xxhash64(*[f"e{i}" for i in range(len(event_id))]), splits).cast("int"))
         .withColumn("shard", shard)
-        .drop("salt")
+        .drop("salt", "slice", "splits", "cuts")
     )
+    right = _sliced(own.join(hot, keys, "left"), keys).withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1))).withColumn("shard", shard).drop("salt", "slice", "splits", "cuts")
     fields = [T.StructField(n if n not in event_id else f"version_{n}", versions.schema[n].dataType) for n in carry]
     schema = T.StructType([T.StructField(n, events.schema[n].dataType) for n in event_id] + fields)
     names, n_ids, n_carry = schema.names, len(event_id), len(carry)

@@ -54,6 +54,16 @@ def test_known_as_of(spark):
         got = known_as_of(e, v, shard_rows=rows, **args)
         assert got.columns == ["event_id", "t", "note", "version_t"]
         assert {r.event_id: r.note for r in got.collect()} == want and got.count() == len(want)
+    # Known and valid at once: entities with many versions are cut into time slices as well.
+    args["known_at"] = "valid"
+    want = {}
+    for i, t, c, valid, _, _ in events:
+        fits = [x for x in versions if c is not None and valid is not None and x[2] == c and x[3] is not None and x[5] <= valid and x[3] <= valid and (x[4] is None or x[4] > x[3] and valid < x[4])]
+        if fits:
+            want[i] = max(fits, key=lambda x: (x[5], x[3], x[0]))[6]
+    for rows in (50_000, 60, 7):
+        got = known_as_of(e, v, shard_rows=rows, **args)
+        assert {r.event_id: r.note for r in got.collect()} == want and got.count() == len(want)
     assert known_as_of(e.limit(0), v, **args).count() == 0
     assert known_as_of(e, v.limit(0), **args).count() == 0
 
