@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What a token is: a run of letters a-z, digits and underscores of the lower-case text.
+TOKEN = "[a-z0-9_]+"
+
+
 def tokens(text: Column) -> Column:
-    """Runs of letters a-z, digits and underscores of the lower-case text; null gives none."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)), F.array().cast("array<string>"))
+    """The tokens of a text in order; null gives none."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def excerpt(text: Column, length: int = 600) -> Column:

@@ -57,14 +57,15 @@ def unresolved(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
 
 
 def cards(tables: DataFrame, columns: DataFrame, metrics: DataFrame, relationships: DataFrame) -> DataFrame:
-    """(chunk_id, snapshot_id, object_id, object_type, table_id, domain, title, content): a search card per object."""
+    """(chunk_id, snapshot_id, object_id, object_type, table_id, domain, access_scope, title, content): a search card per object."""
     none = F.lit(None).cast("string")
+    open_to_all = none.alias("access_scope")
     words = lambda *c: F.concat_ws(" ", *c)
     parts = [
-        latest(tables).select("snapshot_id", "id", F.lit("table").alias("object_type"), F.col("id").alias("table_id"), "domain", F.col("name").alias("title"), words(F.lit("table"), "name", "domain", F.concat_ws(" ", "tags")).alias("content")),
-        latest(columns).select("snapshot_id", "id", F.lit("column").alias("object_type"), F.lower(F.trim("table_id")).alias("table_id"), "domain", F.col("name").alias("title"), words(F.lit("column"), "name", "data_type", F.concat_ws(" ", "synonyms"), "unit", "classification").alias("content")),
-        latest(metrics).select("snapshot_id", "id", F.lit("metric").alias("object_type"), F.lower(F.trim("base_table")).alias("table_id"), "domain", F.col("id").alias("title"), words(F.lit("metric"), "id", "unit").alias("content")),
-        latest(relationships).select("snapshot_id", "id", F.lit("relationship").alias("object_type"), none.alias("table_id"), "domain", F.col("id").alias("title"), words(F.lit("relationship"), "left_table", "right_table", "cardinality").alias("content")),
+        latest(tables).select("snapshot_id", "id", F.lit("table").alias("object_type"), F.col("id").alias("table_id"), "domain", "access_scope", F.col("name").alias("title"), words(F.lit("table"), "name", "domain", F.concat_ws(" ", "tags")).alias("content")),
+        latest(columns).select("snapshot_id", "id", F.lit("column").alias("object_type"), F.lower(F.trim("table_id")).alias("table_id"), "domain", "access_scope", F.col("name").alias("title"), words(F.lit("column"), "name", "data_type", F.concat_ws(" ", "synonyms"), "unit", "classification").alias("content")),
+        latest(metrics).select("snapshot_id", "id", F.lit("metric").alias("object_type"), F.lower(F.trim("base_table")).alias("table_id"), "domain", open_to_all, F.col("id").alias("title"), words(F.lit("metric"), "id", "unit").alias("content")),
+        latest(relationships).select("snapshot_id", "id", F.lit("relationship").alias("object_type"), none.alias("table_id"), "domain", open_to_all, F.col("id").alias("title"), words(F.lit("relationship"), "left_table", "right_table", "cardinality").alias("content")),
     ]
     every = reduce(DataFrame.unionByName, parts)
-    return every.select(short_id(F.col("snapshot_id"), F.col("object_type"), F.col("id")).alias("chunk_id"), "snapshot_id", F.col("id").alias("object_id"), "object_type", "table_id", "domain", "title", "content")
+    return every.select(short_id(F.col("snapshot_id"), F.col("object_type"), F.col("id")).alias("chunk_id"), "snapshot_id", F.col("id").alias("object_id"), "object_type", "table_id", "domain", "access_scope", "title", "content")

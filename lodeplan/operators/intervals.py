@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from lodeplan.operators.arrays import codes, longs, running_max, starts
 
 DAY_US = 86_400_000_000
-#: Width of a time shard.
-SHARD_US = 365 * DAY_US
+#: Width of a time shard; an entity's intervals that begin or end within one are a task's smallest unit.
+SHARD_US = 28 * DAY_US
 #: Rows of one task's group of (entity, shard) pairs.
 GROUP_ROWS = 50_000
 

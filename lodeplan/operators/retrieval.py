@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeplan.functions.text import prefixes, tokens
+from lodeplan.plans.policy import Principal
 from lodeplan.sources.tables import cut, spread
 
 K1, B = 1.5, 0.75
@@ -30,6 +31,23 @@ def visible(objects: DataFrame, denied: DataFrame, *, id: str) -> DataFrame:
     return objects.join(hidden, objects[id] == hidden["_id"], "left_anti")
 
 
+def permitted(cards: DataFrame, principal: Principal, snapshot_id: str, *, types: list[str] | None = None, tables: list[str] | None = None) -> DataFrame:
+    """The search cards a principal may see, before any ranking.
+
+    Cards of the snapshot whose domain and access scope are among the principal's, narrowed to
+    object types and tables if given, and not hidden by a denied id. No domains or scopes means
+    none, not all. A card without an access scope is open to whoever has its domain.
+    """
+    spark = cards.sparkSession
+    own = cards.filter((F.col("snapshot_id") == snapshot_id) & F.col("domain").isin(*principal.domains) & (F.col("access_scope").isNull() | F.col("access_scope").isin(*principal.scopes)))
+    if types is not None:
+        own = own.filter(F.col("object_type").isin(*types))
+    if tables is not None:
+        own = own.filter(F.col("table_id").isin(*tables))
+    denied = [(p.removesuffix(".*"),) for p in principal.denies.get("discover", ())]
+    return visible(own, spark.createDataFrame(denied, "id string"), id="object_id") if denied else own
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The best k per query with their rank."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

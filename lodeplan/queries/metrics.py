@@ -371,6 +371,16 @@ def search_cards(spark, folder):
     return _cards(spark, folder).groupBy("object_type", "domain").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"), F.count_distinct("chunk_id").alias("chunks"))
 
 
+@query(
+    f"""WITH c AS (SELECT 'table' AS object_type, snapshot_id, id, domain, access_scope, name FROM ({_LATEST.format('catalog_tables')})
+UNION ALL SELECT 'column', snapshot_id, id, domain, access_scope, name FROM ({_LATEST.format('catalog_columns')}))
+SELECT object_type, domain, access_scope, count(*) AS n FROM c WHERE snapshot_id = 'year-end' AND domain IN ('commerce', 'finance') AND (access_scope IS NULL OR access_scope IN ('all', 'commerce-readers')) AND id NOT LIKE 'warehouse.finance.%' GROUP BY ALL"""
+)
+def permitted_cards(spark, folder):
+    reader = Principal("reader", "a", frozenset({"commerce", "finance"}), frozenset({"all", "commerce-readers"}), denies={"discover": ("warehouse.finance.*",)})
+    return retrieval.permitted(_cards(spark, folder), reader, "year-end", types=["table", "column"]).groupBy("object_type", "domain", "access_scope").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT count(*) AS n FROM catalog_tables WHERE id NOT LIKE 'warehouse.finance.%' AND id NOT LIKE 'warehouse.people.%'")
 def deny_prefix_filter(spark, folder):
     denied = spark.createDataFrame([("warehouse.finance",), ("warehouse.people",)], "id string")

@@ -264,3 +264,25 @@ def test_left_edges_keep_their_rows(spark):
     _, df, _ = prepare(left, demo.policy("T"), "full_T", request, resolver(spark, history=GOLD_HISTORY[:2]))
     assert {tuple(r) for r in df.collect()} == {("North", 1), ("South", 1), (None, 5)}
     assert isinstance(edge, Edge)
+
+
+def test_questions(spark):
+    from lodeplan.plans.questions import Question, propose, repaired, resume
+
+    catalog, scope = demo.catalog(), demo.policy("T", "O").scope("full_T", "demo-1")
+    got = propose(catalog, scope, "Show turnover by territory, monthly, in Q2 2026")
+    assert got == Request(("finance.revenue@7",), ("customer.region_at_order@2",), ts("2026-04-01"), ts("2026-07-01"), grain="month")
+    assert ask(spark, got).rows[0][1:] == ("North", Decimal(200))
+    assert resume(catalog, scope, propose(catalog, scope, "weekly revenue Q2 2026"), "2").grain == "month"
+    both = propose(catalog, scope, "sales and orders in q1 2026")
+    assert isinstance(both, Question) and len(both.options) == 2
+    assert resume(catalog, scope, both, "finance.revenue@7").metrics == ("finance.revenue@7",)
+    with pytest.raises(Refused):
+        resume(catalog, scope, both, "something else")
+    later = propose(catalog, scope, "monthly revenue")
+    assert later.slot == "period" and resume(catalog, scope, later, "Q1 2026").start == ts("2026-01-01")
+    for text, reason in (("weather", Reason.OBJECT_NOT_FOUND), ("revenue", Reason.NOT_AUTHORIZED)):
+        with pytest.raises(Refused) as refused:
+            propose(catalog, demo.policy("T").scope("restricted", "demo-1"), text)
+        assert refused.value.reason == reason
+    assert repaired(replace(GOLD, order_by=(("x", "asc"), ("month", "desc"))), ["month"]).order_by == (("month", "desc"),)

@@ -128,3 +128,15 @@ def test_ranks_changes_and_spine(spark):
 
 def test_quarters():
     assert [d.month for d in quarter_in("revenue in q4 2025 please")] == [10, 1] and quarter_in("q5 2025") is None
+
+
+def test_nothing_is_open_to_a_principal_without_domains(spark):
+    from lodeplan.plans.policy import Principal
+
+    cards = spark.createDataFrame([("s", "a.b", "table", "a.b", "d", None), ("s", "a.b.c", "column", "a.b", "d", "x"), ("r", "a.b", "table", "a.b", "d", None), ("s", "e.f", "table", "e.f", None, "x")], "snapshot_id string, object_id string, object_type string, table_id string, domain string, access_scope string")
+    seen = lambda p, **k: {r.object_id for r in retrieval.permitted(cards, p, "s", **k).collect()}
+    assert seen(Principal("p", "t")) == set()
+    assert seen(Principal("p", "t", frozenset("d"))) == {"a.b"}
+    full = Principal("p", "t", frozenset("d"), frozenset("x"))
+    assert seen(full) == {"a.b", "a.b.c"} and seen(full, types=["column"]) == {"a.b.c"} and seen(full, tables=[]) == set()
+    assert seen(Principal("p", "t", frozenset("d"), frozenset("x"), denies={"discover": ("a.b.c.*",)})) == {"a.b"}
