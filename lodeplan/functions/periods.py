@@ -32,6 +32,11 @@ def valid_at(at: Column, valid_from: Column, valid_to: Column) -> Column:
     return (at >= valid_from) & ((at < valid_to) | valid_to.isNull())
 
 
+def utc_month(at: Column) -> Column:
+    """``yyyy-MM`` of an instant in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM")
+
+
 def quarter_in(text: str) -> tuple[datetime, datetime] | None:
     """The UTC period of a quarter named in a text, such as ``Q2 2026``."""
     match = _QUARTER.search(text)

@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeplan.functions.periods import utc_month
 from lodeplan.sources.tables import cut
 
 MISSING, DELETED, LATE = "missing", "deleted", "late"
@@ -105,7 +106,7 @@ class OrphanTracker:
 
     def snapshot_counts(self, as_of: Column) -> DataFrame:
         """(as_of, period, reason, n): the dangling references of the state, by month of arrival."""
-        return self.report().groupBy(as_of.alias("as_of"), F.date_format("at", "yyyy-MM").alias("period"), "reason").agg(F.count(F.lit(1)).alias("n"))
+        return self.report().groupBy(as_of.alias("as_of"), utc_month(F.col("at")).alias("period"), "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def current_references(index: DataFrame, *, child: list[str], carry: str, key: str) -> DataFrame:

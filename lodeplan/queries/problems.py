@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeplan.functions.keys import digest_text, folded
+from lodeplan.functions.periods import utc_month
 from lodeplan.operators.asof import known_as_of, usable
 from lodeplan.operators.history import build_ledger, history
 from lodeplan.operators.intervals import interval_runs
@@ -77,7 +78,7 @@ def _commerce_states(spark: SparkSession, folder: str, increments: int) -> tuple
 def _catalog_references(spark: SparkSession, folder: str) -> DataFrame:
     """Dangling references of the catalog's approved snapshots, with the month of the snapshot."""
     order = snapshot_order(table(spark, folder, "catalog_snapshots"))
-    at = order.select("snapshot_id", "ord", F.date_format("published_at", "yyyy-MM").alias("period"))
+    at = order.select("snapshot_id", "ord", utc_month(F.col("published_at")).alias("period"))
     clean = lambda c: F.nullif(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit(""))
     tables = table(spark, folder, "catalog_tables", "snapshot_id", "id", "version").join(at, "snapshot_id")
     columns = table(spark, folder, "catalog_columns", "snapshot_id", "id", "table_id").join(at, "snapshot_id")
@@ -95,7 +96,7 @@ def _catalog_references(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Dangling references of commerce and catalog, by field and month."""
     owners, lines, _ = _commerce_states(spark, folder, increments=2)
-    month = F.date_format("at", "yyyy-MM").alias("period")
+    month = utc_month(F.col("at")).alias("period")
     text = lambda *c: F.concat_ws("|", *[F.col(x).cast("string") for x in c])
     of_orders = owners.report().select(F.lit("commerce_orders.customer_id").alias("ref_field"), text("tenant_id", "order_id").alias("child_key"), text("customer_id").alias("ref_key"), "reason", month)
     of_items = lines.report().select(F.lit("commerce_order_items.order_id").alias("ref_field"), text("tenant_id", "order_id", "line_number").alias("child_key"), text("order_id").alias("ref_key"), "reason", month)

@@ -15,11 +15,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or the one that the
+    context was given for checkpoints.
 
-    Only where the setting is missing (tests on one machine) a temporary folder stands in.
+    Only where neither is set (tests on one machine) a temporary folder stands in.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="lodeplan-")
         spark.conf.set("spark.checkpoint.dir", folder)
