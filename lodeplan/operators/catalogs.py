@@ -29,7 +29,7 @@ def metric_closure(values: DataFrame, metrics: DataFrame) -> DataFrame:
     ``values``: the attribute table of the metrics' nested expressions, with record_id, field and
     value. One join on the record, so all metrics are closed over at once.
     """
-    named = values.filter(F.col("key") == "column_ref").select("record_id", "field", F.lower(F.trim(F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]"))).alias("column_id"))
+    named = values.filter(F.col("key") == "column_ref").select("record_id", "field", F.lower(F.trim("value")).alias("column_id"))
     part = F.when(F.col("field") == "expression", "measure").otherwise("population").alias("part")
     table_id = F.regexp_replace("column_id", r"\.[^.]*$", "")
     return named.join(metrics.select("record_id", *PINNED), "record_id").select(*PINNED, "column_id", table_id.alias("table_id"), part).distinct()
@@ -40,8 +40,7 @@ def activated_rules(closure: DataFrame, rule_values: DataFrame, rules: DataFrame
 
     Equality joins on the activation's object; rules that always apply aren't listed per metric.
     """
-    text = F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]")
-    parts = rule_values.filter("field = 'activation' and parent_path = 'activation'").groupBy("record_id").agg(F.max(F.when(F.col("key") == "op", F.lower(text))).alias("op"), F.max(F.when(F.col("key") == "object_id", F.lower(text))).alias("object_id"))
+    parts = rule_values.filter("field = 'activation' and parent_path = 'activation'").groupBy("record_id").agg(F.max(F.when(F.col("key") == "op", F.lower("value"))).alias("op"), F.max(F.when(F.col("key") == "object_id", F.lower("value"))).alias("object_id"))
     active = parts.filter("op in ('uses_column', 'uses_table') and object_id is not null").join(rules.select("record_id", "snapshot_id", F.col("id").alias("rule_id")), "record_id").select("snapshot_id", "rule_id", "op", "object_id").distinct()
     uses = closure.select("snapshot_id", F.col("id").alias("metric_id"), F.lit("uses_column").alias("op"), F.col("column_id").alias("object_id")).unionByName(closure.select("snapshot_id", F.col("id").alias("metric_id"), F.lit("uses_table").alias("op"), F.col("table_id").alias("object_id"))).distinct()
     return uses.join(active, ["snapshot_id", "op", "object_id"]).select("snapshot_id", "metric_id", "rule_id").distinct()

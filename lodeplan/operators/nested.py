@@ -293,9 +293,13 @@ def flatten_batch(texts: pa.Array, names: list[str], *, singles: frozenset[str],
         replaced[inner_at[is_document]] = True
         picked = np.flatnonzero(wanted & ~replaced)
         node = order[picked]
-        raw = data.tobytes()
-        scalar = nodes.kind[node] >= 2
-        values = [raw[a:b].decode() if s else None for a, b, s in zip(nodes.begin[node].tolist(), nodes.end[node].tolist(), scalar.tolist())] if (kinds & {2, 3}) else [None] * len(node)
+        values = pa.nulls(len(node), pa.string())
+        if kinds & {2, 3}:
+            raw, is_string = data.tobytes(), nodes.kind[node] == 2
+            own, rest = node[is_string], node[nodes.kind[node] == 3]
+            values = pc.replace_with_mask(values, pa.array(is_string), _strings(data, nodes.begin[own], nodes.end[own]))
+            names_of = pa.array([raw[x:y].decode() for x, y in zip(nodes.begin[rest].tolist(), nodes.end[rest].tolist())], pa.string())
+            values = pc.replace_with_mask(values, pa.array(nodes.kind[node] == 3), names_of)
         text_root = root[node]
         out.append(
             pa.table(
@@ -306,7 +310,7 @@ def flatten_batch(texts: pa.Array, names: list[str], *, singles: frozenset[str],
                     "key": pc.if_else(pa.array(text_root), key0.take(pa.array(nodes.text[node])), keys.take(pa.array(node))),
                     "slot": pc.if_else(pa.array(text_root), slot0.take(pa.array(nodes.text[node])), pa.array(nodes.slot[node].astype(np.int32))),
                     "kind": pa.array([KINDS[x] for x in nodes.kind[node].tolist()], pa.string()),
-                    "value": pa.array(values, pa.string()),
+                    "value": values,
                 }
             )
         )
@@ -341,7 +345,7 @@ def flatten_json(records: DataFrame, *, record_id: str, fields: list[str], singl
     Returns ``(record_id, field, node_path, parent_path, key, slot, kind, value)``. The path is the
     field's name, ``.key`` per key and ``[i]`` per array position; ``parent_path`` is null for a
     field's root; ``slot`` is the position among the parent's children (null for a root); ``value``
-    is the JSON text of a string or scalar, null for objects and arrays. ``kinds`` narrows the
+    is a string's content or a scalar's JSON text, null for objects and arrays. ``kinds`` narrows the
     output.
 
     Under the keys and fields in ``singles`` a lone object counts as an array of one. A whole

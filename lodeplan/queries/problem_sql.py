@@ -125,22 +125,39 @@ WITH RECURSIVE fields AS (
 whole AS (SELECT object_type, record_id, field, CAST(t AS JSON) AS v FROM (SELECT * FROM fields WHERE json_valid(t))),
 opened AS (SELECT object_type, record_id, field, {_UNWRAP.format("v")} AS v FROM whole),
 n AS (
-  SELECT object_type, record_id, field, CASE WHEN field = 'predicates' AND json_type(v) = 'OBJECT' THEN field || '[0]' ELSE field END AS path, CAST(NULL AS VARCHAR) AS parent, field AS key, v FROM opened
+  SELECT object_type, record_id, field, CASE WHEN field = 'predicates' AND json_type(v) = 'OBJECT' THEN field || '[0]' ELSE field END AS path, CAST(NULL AS VARCHAR) AS parent, field AS key, CAST(NULL AS BIGINT) AS slot, v FROM opened
   UNION ALL
-  SELECT object_type, record_id, field, path || CASE WHEN key IS NULL THEN '[' || i || ']' WHEN key IN ('predicates', 'args', 'members') AND json_type(v) = 'OBJECT' THEN '.' || key || '[0]' ELSE '.' || key END, path, key, v
+  SELECT object_type, record_id, field, path || CASE WHEN key IS NULL THEN '[' || i || ']' WHEN key IN ('predicates', 'args', 'members') AND json_type(v) = 'OBJECT' THEN '.' || key || '[0]' ELSE '.' || key END, path, key, i, v
   FROM (
     SELECT object_type, record_id, field, path, key, i, CASE WHEN key = 'predicate' THEN {_UNWRAP.format("v")} ELSE v END AS v
     FROM (
       SELECT object_type, record_id, field, path, NULL AS key, i, json_extract(v, '$[' || i || ']') AS v FROM (SELECT object_type, record_id, field, path, v, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS i FROM n WHERE json_type(v) = 'ARRAY')
       UNION ALL
-      SELECT object_type, record_id, field, path, k, NULL, json_extract(v, '$."' || k || '"') FROM (SELECT object_type, record_id, field, path, v, unnest(json_keys(v)) AS k FROM n WHERE json_type(v) = 'OBJECT'))))"""
+      SELECT object_type, record_id, field, path, k, i, json_extract(v, '$."' || k || '"') FROM (SELECT object_type, record_id, field, path, v, unnest(json_keys(v)) AS k, unnest(range(len(json_keys(v)))) AS i FROM n WHERE json_type(v) = 'OBJECT'))))"""
 
 SQL = {
     "p1_found": NODES + " SELECT object_type, record_id, path AS node_path FROM n WHERE json_type(v) = 'OBJECT'",
+    "p1_values": NODES
+    + """ SELECT object_type, record_id, parent AS parent_path, CASE WHEN parent IS NOT NULL THEN key END AS key, CAST(slot AS INT) AS slot, CASE WHEN json_type(v) = 'VARCHAR' THEN 'string' ELSE 'scalar' END AS kind, CASE WHEN json_type(v) = 'VARCHAR' THEN v ->> '$' ELSE CAST(v AS VARCHAR) END AS value
+FROM n WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')""",
     "p1_column_references": NODES
     + """ SELECT object_type, lower(trim(v ->> '$')) AS column_id, count(*) AS n, count(DISTINCT record_id) AS n_records FROM n
 WHERE key IN ('column_ref', 'left_column', 'right_column') AND json_type(v) = 'VARCHAR' GROUP BY ALL""",
     "p2_found": _P2,
+    "p2_counts": """
+WITH span AS (SELECT min(ingested_at) AS low, max(ingested_at) AS high FROM commerce_orders),
+cuts AS (
+  SELECT i, CASE WHEN i = 4 THEN NULL ELSE epoch_us(low) + (epoch_us(high) - epoch_us(low)) * i // 4 - (epoch_us(low) + (epoch_us(high) - epoch_us(low)) * i // 4) % 3600000000 END AS cut, epoch_us(high) AS high FROM span, (SELECT unnest(range(1, 5)) AS i)),
+known AS (
+  SELECT i, tenant_id, order_id, min(ingested_at) AS first_at, arg_max(op, (ingested_at, row_id)) AS op
+  FROM commerce_orders JOIN cuts ON cut IS NULL OR epoch_us(ingested_at) < cut WHERE tenant_id IS NOT NULL AND order_id IS NOT NULL GROUP BY ALL),
+lines AS (
+  SELECT i, coalesce(cut, high) AS as_of_us, tenant_id, order_id, line_number, min(ingested_at) AS arrived
+  FROM commerce_order_items JOIN cuts ON cut IS NULL OR epoch_us(ingested_at) < cut WHERE tenant_id IS NOT NULL AND order_id IS NOT NULL GROUP BY ALL),
+judged AS (
+  SELECT as_of_us, strftime(arrived AT TIME ZONE 'UTC', '%Y-%m') AS period, CASE WHEN k.first_at IS NULL THEN 'missing' WHEN k.op = 'delete' THEN 'deleted' WHEN k.first_at > l.arrived THEN 'late' END AS reason
+  FROM lines l LEFT JOIN known k USING (i, tenant_id, order_id))
+SELECT as_of_us, period, reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY ALL""",
     "p3_found": _CHANGES + " SELECT object_type, snapshot_id, id, change FROM found",
     "p3_summary": _CHANGES + " SELECT object_type, snapshot_id, change, count(*) AS n FROM found GROUP BY ALL",
     "p4_found": _KNOWN

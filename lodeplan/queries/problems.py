@@ -40,7 +40,7 @@ def p1_values(spark: SparkSession, folder: str) -> DataFrame:
 def p1_column_references(spark: SparkSession, folder: str) -> DataFrame:
     """How often each column is named in nested expressions, by kind of record."""
     values = _flat(spark, folder, ("string",)).filter(F.col("key").isin("column_ref", "left_column", "right_column"))
-    column = F.lower(F.trim(F.substring_index(F.substring_index("value", '"', 2), '"', -1)))
+    column = F.lower(F.trim("value"))
     return values.groupBy("object_type", column.alias("column_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("n_records"))
 
 
@@ -50,7 +50,7 @@ def _commerce_states(spark: SparkSession, folder: str, increments: int) -> tuple
     items = table(spark, folder, "commerce_order_items", "tenant_id", "order_id", "line_number", F.col("ingested_at").alias("at"))
     customers = table(spark, folder, "commerce_customer_history", "tenant_id", "customer_id", "version_id", "recorded_at")
     low, high = orders.agg(F.min("ingested_at"), F.max("ingested_at")).first()
-    cuts = [low + (high - low) * i / increments for i in range(1, increments)] if low else []
+    cuts = [(low + (high - low) * i / increments).replace(minute=0, second=0, microsecond=0) for i in range(1, increments)] if low else []
 
     def batch(df: DataFrame, at: str, i: int) -> DataFrame:
         if i > 0:
@@ -68,11 +68,11 @@ def _commerce_states(spark: SparkSession, folder: str, increments: int) -> tuple
         known = merge_index(known, recorded, ["tenant_id", "customer_id"])
         if not last:
             known = cut(known)
-            counts.append(lines.snapshot_counts(F.lit(cuts[i])))
+            counts.append(lines.snapshot_counts(F.unix_micros(F.lit(cuts[i]))))
     # An order's customer is stated by its current row, so these references are probed from the index.
     owners = OrphanTracker(["tenant_id", "customer_id"], ["tenant_id", "order_id"])
     owners = owners.advance(current_references(index, child=["tenant_id", "order_id"], carry="customer_id", key="customer_id"), known, keep=False)
-    return owners, lines, [*counts, lines.snapshot_counts(F.lit(high).cast("timestamp"))]
+    return owners, lines, [*counts, lines.snapshot_counts(F.unix_micros(F.lit(high).cast("timestamp")))]
 
 
 def _catalog_references(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +109,7 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     out = counts[0]
     for other in counts[1:]:
         out = out.unionByName(other)
-    return out
+    return out.withColumnRenamed("as_of", "as_of_us")
 
 
 def _changes(spark: SparkSession, folder: str) -> DataFrame:

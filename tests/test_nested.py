@@ -125,7 +125,7 @@ def test_frames(spark):
     got = flatten_json(df, record_id="record_id", fields=["f"], singles=["args"], embedded=["predicate"])
     found = {(r.record_id, r.node_path, r.parent_path, r.key, r.slot, r.kind, r.value) for r in got.collect()}
     assert (1, "f.a[0].b", "f.a[0]", "b", 0, "scalar", "1") in found
-    assert (1, "f.a[2].c", "f.a[2]", "c", 0, "string", '"x"') in found
+    assert (1, "f.a[2].c", "f.a[2]", "c", 0, "string", "x") in found
     assert (1, "f.a[2]", "f.a", None, 2, "object", None) in found
     assert (5, "f[0]", "f", None, 0, "object", None) in found
     assert (None, "f.predicate.args[0]", "f.predicate", "args", 0, "object", None) in found
