@@ -254,12 +254,10 @@ def flatten_batch(texts: pa.Array, names: list[str], *, singles: frozenset[str],
         suffix = pc.if_else(pa.array(root), base.take(pa.array(nodes.text)), suffix)
         suffix = pc.if_else(pa.array(lone), pc.binary_join_element_wise(suffix, "[0]", ""), suffix)
         # Paths level by level: a node's is its parent's and its own step.
-        depth = np.zeros(n, np.int64)
-        level, paths = np.flatnonzero(root), suffix
-        todo = nodes.parent
+        level = np.flatnonzero(root)
         ups = [level]
-        children = np.argsort(todo, kind="stable")
-        sorted_parent = todo[children]
+        children = np.argsort(nodes.parent, kind="stable")
+        sorted_parent = nodes.parent[children]
         while len(level):
             a, b = np.searchsorted(sorted_parent, level), np.searchsorted(sorted_parent, level, "right")
             counts = b - a
