@@ -6,6 +6,8 @@ ranks from 1, ties broken by doc_id, so results don't depend on partitioning.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -54,8 +56,9 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(documents: DataFrame, queries: DataFrame, *, doc_id: str, text: str, k: int, keep: str | None = None) -> DataFrame:
-    """Keyword ranking. ``queries``: (query_id, text); ``keep``: condition for documents to rank.
+def bm25(documents: DataFrame, queries: DataFrame, *, doc_id: str, text: str, k: int | None, keep: str | None = None) -> DataFrame:
+    """Keyword ranking. ``queries``: (query_id, text); ``keep``: condition for documents to rank;
+    ``k`` None gives all scores, without ranks.
 
     idf = ln(1 + (N - df + .5) / (df + .5)) over the documents kept; the average length is that of
     all documents. A token repeated in a query counts each time. Documents without a common token
@@ -81,7 +84,20 @@ def bm25(documents: DataFrame, queries: DataFrame, *, doc_id: str, text: str, k:
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(size["avg_length"])))
     terms = wanted.join(df, "token").select("query_id", "token", "times", "df")
     scored = postings.join(terms, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight * F.col("times")), 6).alias("score"))
-    return top(scored.filter("score > 0"), k)
+    scored = scored.filter("score > 0")
+    return scored if k is None else top(scored, k)
+
+
+def bm25_fields(documents: DataFrame, queries: DataFrame, *, doc_id: str, fields: dict[str, float], k: int) -> DataFrame:
+    """Keyword ranking over several fields, each with its own statistics and weight."""
+    parts = [bm25(documents, queries, doc_id=doc_id, text=f, k=None).select("query_id", "doc_id", (F.col("score") * F.lit(float(w))).alias("score")) for f, w in fields.items()]
+    together = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    return top(together, k)
+
+
+def rerank(hits: DataFrame, scores: DataFrame, *, k: int) -> DataFrame:
+    """The best k hits by another score: ``scores`` has (query_id, doc_id, score); hits without one drop out."""
+    return top(hits.select("query_id", "doc_id").join(scores.select("query_id", "doc_id", "score"), ["query_id", "doc_id"]), k)
 
 
 def usable_vectors(vectors: DataFrame, *, vector: str, size: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodeplan.plans.binding import Bound, Request, bind
 from lodeplan.plans.catalog import Catalog
 from lodeplan.plans.errors import Reason, Refused
-from lodeplan.plans.frames import Resolver, attestations, build, combine, ordered
+from lodeplan.plans.frames import Resolver, attestations, build, combine, ordered, preflight, within_tenant
 from lodeplan.plans.gates import check
 from lodeplan.plans.policy import Policy
 
@@ -37,6 +37,7 @@ class Answer:
     joins: list[str] = field(default_factory=list)
     gates: list[str] = field(default_factory=list)
     attested: dict[str, tuple[int, int, int]] = field(default_factory=dict)
+    lineage: dict[str, str] = field(default_factory=dict)
     timezone: str = "UTC"
 
 
@@ -45,6 +46,7 @@ def prepare(catalog: Catalog, policy: Policy, principal: str, request: Request,
     if not request.metrics:
         raise Refused(Reason.UNSUPPORTED_CAPABILITY, "a request names a metric")
     scope = policy.scope(principal, catalog.snapshot_id)
+    resolver = within_tenant(resolver, catalog, scope.tenant)
     bounds = [bind(catalog, scope, request, ref) for ref in request.metrics]
     gates, parts = [], []
     for bound in bounds:
@@ -122,9 +124,11 @@ def answer(catalog: Catalog, policy: Policy, principal: str, request: Request, r
         out.metrics = [b.metric.ref for b in bounds]
         out.rules = sorted({r for b in bounds for r in b.rules})
         out.joins = [s.edge.ref for b in bounds for s in b.steps]
+        out.lineage = {k: v for b in bounds for k, v in b.lineage.items()}
         out.timezone, out.status = bounds[0].timezone, "blocked"
         policy.check_current(bounds[0].scope)
-        out.attested = attest(bounds, resolver)
+        preflight(df)
+        out.attested = attest(bounds, within_tenant(resolver, catalog, bounds[0].scope.tenant))
         rows = fetch(df, request.limit, timeout_s)
         out.notes = verify(df.columns, rows, bounds[0].keys, [b.measure for b in bounds])
         for bound in bounds:

@@ -12,13 +12,30 @@ from pyspark.sql import functions as F
 from lodeplan.functions.expressions import Context, columns_in
 from lodeplan.functions.periods import bucket
 from lodeplan.plans.binding import Bound
-from lodeplan.plans.catalog import table_of
+from lodeplan.plans.catalog import Catalog, table_of
 from lodeplan.plans.errors import Reason, Refused
 
 #: Gives the DataFrame of a table id; whatever rows it holds is what a request can see.
 Resolver = Callable[[str], DataFrame]
 
 
+def within_tenant(resolver: Resolver, catalog: Catalog, tenant: str) -> Resolver:
+    """A resolver that shows one tenant's rows only, whatever is built on it: a boundary of its
+    own beside the tenant conditions that every plan carries."""
+
+    def resolve(table_id: str) -> DataFrame:
+        key = catalog.get("table", table_id).tenant_key
+        df = resolver(table_id)
+        return df.filter(F.col(catalog.get("column", key).name) == F.lit(tenant)) if key else df
+
+    return resolve
+
+
+def preflight(df: DataFrame) -> str:
+    """The physical plan; planning reads footers and statistics but runs nothing."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def context(bound: Bound) -> Context:
     alias = {t: f"t{i}" for i, t in enumerate(bound.tables)}
 

@@ -466,6 +466,16 @@ def rrf_capped_per_page(spark, folder):
     return retrieval.cap_per_source(fused.join(pages, "doc_id"), source="page_id").filter("rank <= 10").select("query_id", "doc_id", "page_id", "rank")
 
 
+@query(_RRF + """, every AS (SELECT query_id, doc_id, score FROM scored WHERE score > 0 UNION ALL SELECT query_id, doc_id, score * 2.0 FROM scored_t WHERE score > 0),
+both_ AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM every GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM both_)
+SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 5""")
+def bm25_boosted_title(spark, folder):
+    documents = table(spark, folder, "documents", "doc_id", "title", "text")
+    queries = documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
+    found = retrieval.bm25_fields(documents, queries, doc_id="doc_id", fields={"title": 2.0, "text": 1.0}, k=5)
+    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.e, v.e), 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, v.e), 6) DESC, v.vec_id) AS rank

@@ -46,6 +46,7 @@ def test_golden(spark):
     assert [(r[0].month, r[1], r[2]) for r in got.rows] == [(4, "North", Decimal(200)), (6, "South", Decimal(50))]
     assert got.attested == {"commerce.orders_customers_asof@2": (5, 0, 0)}
     assert "global.exclude_internal_customers@2" in got.rules and len(got.gates) >= 18
+    assert got.lineage == {"month": f"{demo.ORDERS}.ordered_at#month", "region_at_order": f"{demo.HISTORY}.region_name", "revenue_usd": "finance.revenue@7"}
     assert "| 2026-04-01 | North | 200.00 |" in as_markdown(got)
     assert as_csv(got).decode().splitlines()[0] == "month,region_at_order,revenue_usd"
 
@@ -286,3 +287,29 @@ def test_questions(spark):
             propose(catalog, demo.policy("T").scope("restricted", "demo-1"), text)
         assert refused.value.reason == reason
     assert repaired(replace(GOLD, order_by=(("x", "asc"), ("month", "desc"))), ["month"]).order_by == (("month", "desc"),)
+
+
+def test_fingerprints_and_the_tenant_boundary(spark, bound):
+    from lodeplan.plans.frames import preflight, within_tenant
+
+    other = bind(demo.catalog(), demo.policy("T", "O").scope("full_O", "demo-1"), GOLD, "finance.revenue")
+    again = bind(demo.catalog(), demo.policy("T").scope("full_T", "demo-1"), GOLD, "finance.revenue")
+    assert bound.fingerprint == again.fingerprint != other.fingerprint
+    own = within_tenant(resolver(spark), demo.catalog(), "O")
+    assert own(demo.ORDERS).count() == 1 and own(demo.HISTORY).count() == 1
+    assert "HashAggregate" in preflight(build(bound, resolver(spark)))
+
+
+def test_card_index(spark, tmp_path):
+    from lodeplan.sources.cards import CardIndex
+
+    cards = spark.createDataFrame([("s", "a.b", [1.0, 2.0]), ("s", "a.c", None), ("r", "a.b", [1.0]), ("m", "x", [1.0]), ("m", "y", [1.0, 2.0])], "snapshot_id string, object_id string, embedding array<double>")
+    index = CardIndex(spark, str(tmp_path))
+    assert not index.is_ready("s", 2)
+    index.index(cards, "s")
+    assert index.is_ready("s", 2) and not index.is_ready("s", 3)
+    for snapshot in ("s", "m"):
+        with pytest.raises(Refused):
+            index.index(cards, snapshot)
+    index.retire("s")
+    assert not index.is_ready("s", 2)
