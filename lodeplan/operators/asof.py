@@ -173,6 +173,7 @@ def known_as_of(
     busy = weights.filter(F.col("n") > shard_rows).select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], F.col("n").alias("n_events"))
     cuts = F.lit(None).cast("array<bigint>").alias("cuts")
     if valid_at == known_at:
+        own = cut(own)  # read three times below, and as a rule the outcome of a longer plan
         # Cut points of the few entities with very many versions; for all others there are none.
         many = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows)
         points = F.array_distinct(F.percentile_approx("vf", [i / SLICES for i in range(1, SLICES)], F.lit(10_000)))
