@@ -1,14 +1,15 @@
 """Overlapping and gapped time intervals per entity.
 
-Time is exact to the microsecond. The axis is cut into time shards of fixed width; in each
-(entity, shard) the intervals set bits of two bitmaps kept as runs: ``once`` (covered at all) and
-``twice`` (covered by two or more). Adding an interval sets ``twice |= once & x`` and
-``once |= x``. Set runs of ``once`` are continuous periods, its clear runs between set ones are
-gaps, and set runs of ``twice`` are overlaps. Runs inside a shard are final; only those at shard
-edges are stitched, so an entity with very many intervals is worked on by as many tasks as it has
-shards.
-
-An interval touches the shards of its two ends only. The shards between are covered in full and
+Time is exact to the microsecond. In each entity and time shard the intervals set bits of two
+bitmaps kept as runs: ``once`` (covered at all) and ``twice`` (covered by two or more). Adding an
+interval sets ``twice |= once & x`` and ``once |= x``. Set runs of ``once`` are continuous
+periods, its clear runs between set ones are gaps, and set runs of ``twice`` are overlaps.
+
+For most entities the whole axis is one shard. Those with very many intervals are cut into shards
+of fixed width and worked on by as many tasks; runs inside a shard are final, and only those at
+shard edges are stitched.
+
+In a cut axis an interval touches the shards of its two ends only. The shards between are covered in full and
 are counted by +1/-1 marks and a running sum over the entity's few shard rows, so long intervals
 aren't copied into every shard.
 """
@@ -24,8 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeplan.operators.arrays import codes, longs, running_max, starts
+from lodeplan.sources.tables import cut
 
 DAY_US = 86_400_000_000
+OPEN = np.iinfo(np.int64).max
+#: Intervals of an entity from which on its time axis is cut.
+SHARD_ROWS = 50_000
 #: Width of a time shard; an entity's intervals that begin or end within one are a task's smallest unit.
 SHARD_US = 28 * DAY_US
 #: Rows of one task's group of (entity, shard) pairs.
@@ -64,7 +69,33 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[f"_{n}"]) for n in names])
 
 
-def interval_runs(intervals: DataFrame, *, entity: list[str], start: str, end: str, shard_us: int = SHARD_US, groups: int | None = None) -> DataFrame:
+def _open_as_minus_one(hi: np.ndarray) -> np.ndarray:
+    return np.where(hi == OPEN, -1, hi)
+
+
+def _whole_axis(rows: DataFrame, k: list[str], groups: int) -> DataFrame:
+    """The runs of entities whose time axis is one shard: (kind, k, lo, hi)."""
+    schema = T.StructType([T.StructField("kind", T.StringType()), *[rows.schema[n] for n in k], T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
+
+    def runs(table: pa.Table) -> pa.Table:
+        key, lo, hi = codes(*[table[n] for n in k]), longs(table["a"]), longs(table["b"], OPEN)
+        sample = np.unique(key, return_index=True)[1]
+        order = np.lexsort([hi, lo, key])
+        new = starts(key[order]) | starts(lo[order]) | starts(hi[order])
+        key, lo, hi = key[order][new], lo[order][new], hi[order][new]
+        period, overlap = set_runs(key, lo, hi), covered_twice(key, lo, hi)
+        then = np.flatnonzero(~starts(period[0]))
+        gap = period[0][then], period[2][then - 1], period[1][then]
+        out = []
+        for kind, (own, a, b) in (("period", period), ("overlap", overlap), ("gap", gap)):
+            entities = table.select(k).take(pa.array(sample[own]))
+            out.append(pa.table([pa.array([kind] * len(own), pa.string()), *entities.columns, pa.array(a), pa.array(_open_as_minus_one(b))], names=schema.names))
+        return pa.concat_tables(out)
+
+    return rows.withColumn("grp", F.pmod(F.xxhash64(*k), F.lit(groups)).cast("int")).groupBy("grp").applyInArrow(runs, schema)
+
+
+def interval_runs(intervals: DataFrame, *, entity: list[str], start: str, end: str, shard_rows: int = SHARD_ROWS, shard_us: int = SHARD_US, groups: int | None = None) -> DataFrame:
     """Periods, gaps and overlaps of each entity's half-open intervals.
 
     Returns ``(kind, *entity, from_us, to_us)``: ``period`` is each longest stretch covered
@@ -72,22 +103,32 @@ def interval_runs(intervals: DataFrame, *, entity: list[str], start: str, end: s
     each longest stretch covered by two or more throughout. ``to_us`` is -1 if open. A null end is
     open; rows with a null start or an end not after the start are ignored, equal intervals count
     once, nulls in entity columns are values. Other columns are ignored. ``groups``: number of
-    task groups, by default from the number of rows.
+    task groups, by default from the number of rows. Entities with more than ``shard_rows`` rows
+    are cut into time shards of ``shard_us``; for all others the axis is one shard.
     """
-    e = [F.col(c).alias(f"k{i}") for i, c in enumerate(entity)]
     k = [f"k{i}" for i in range(len(entity))]
     if groups is None:
         groups = max(1, -(-intervals.count() // GROUP_ROWS))
-    edge = lambda shard: shard * F.lit(shard_us)
-    shard_of = lambda us: F.expr(f"({us} - pmod({us}, {shard_us}L)) div {shard_us}L")
-    distinct = (
-        intervals.select(*e, F.unix_micros(start).alias("a"), F.unix_micros(end).alias("b"), F.col(end).isNull().alias("open"))
+    rows = (
+        intervals.select(*[F.col(c).alias(n) for c, n in zip(entity, k)], F.unix_micros(start).alias("a"), F.unix_micros(end).alias("b"), F.col(end).isNull().alias("open"))
         .filter(F.col("a").isNotNull() & (F.col("open") | (F.col("b") > F.col("a"))))
         .select(*k, "a", "b")
-        .distinct()
-        .withColumn("sa", shard_of("a"))
-        .withColumn("sb", shard_of("(b - 1)"))
     )
+    hot = cut(rows.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows).select(*[F.col(n).alias(f"_{n}") for n in k]))
+    if hot.isEmpty():
+        result = _whole_axis(rows, k, groups)
+    else:
+        few = rows.join(hot, _same(rows, hot, k), "left_anti")
+        many = rows.join(hot, _same(rows, hot, k), "left_semi")
+        result = _whole_axis(few, k, groups).unionByName(_time_shards(many, k, shard_us, groups))
+    return result.select("kind", *[F.col(n).alias(c) for n, c in zip(k, entity)], F.col("lo").alias("from_us"), F.col("hi").alias("to_us"))
+
+
+def _time_shards(rows: DataFrame, k: list[str], shard_us: int, groups: int) -> DataFrame:
+    """The runs of entities that are cut into time shards: (kind, k, lo, hi)."""
+    edge = lambda shard: shard * F.lit(shard_us)
+    shard_of = lambda us: F.expr(f"({us} - pmod({us}, {shard_us}L)) div {shard_us}L")
+    distinct = rows.distinct().withColumn("sa", shard_of("a")).withColumn("sb", shard_of("(b - 1)"))
     # Each interval's parts in the shards of its ends, and the marks for the shards between.
     here = F.struct(F.col("sa").alias("shard"), F.col("a").alias("lo"), F.least("b", edge(F.col("sa") + 1)).alias("hi"), F.lit(0).alias("delta"))
     there = F.struct(F.col("sb").alias("shard"), edge(F.col("sb")).alias("lo"), F.col("b").alias("hi"), F.lit(-1).alias("delta"))
@@ -130,7 +171,7 @@ def interval_runs(intervals: DataFrame, *, entity: list[str], start: str, end: s
             emit("gap", key[inner], b[inner - 1], a[inner], ~no, no, no)
         return pa.concat_tables(out)
 
-    found = bits.groupBy("grp").applyInArrow(runs, schema)
+    found = cut(bits.groupBy("grp").applyInArrow(runs, schema))
     edges = found.filter("not final")
     own = marked.select(*[F.col(n).alias(f"_{n}") for n in (*k, "shard")], "through")
     stitched = edges.join(own, _same(edges, own, [*k, "shard"])).drop(*[f"_{n}" for n in (*k, "shard")])
@@ -158,5 +199,4 @@ def interval_runs(intervals: DataFrame, *, entity: list[str], start: str, end: s
         .filter(F.col("before").isNotNull() & (F.col("shard") != F.col("before_shard")) & ~F.coalesce("go", F.lit(False)) & (F.col("before") < F.col("lo")))
         .select(F.lit("gap").alias("kind"), *k, F.col("before").alias("lo"), F.col("lo").alias("hi"))
     )
-    result = found.filter("final").select("kind", *k, "lo", "hi").unionByName(ended.select("kind", *k, "lo", "hi")).unionByName(gaps)
-    return result.select("kind", *[F.col(n).alias(c) for n, c in zip(k, entity)], F.col("lo").alias("from_us"), F.col("hi").alias("to_us"))
+    return found.filter("final").select("kind", *k, "lo", "hi").unionByName(ended.select("kind", *k, "lo", "hi")).unionByName(gaps)

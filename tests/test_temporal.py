@@ -102,8 +102,8 @@ def test_run_bitmaps(rows):
         assert all(k[i] != k[i + 1] or b[i] < a[i + 1] for i in range(len(k) - 1))
 
 
-@pytest.mark.parametrize("width", [10, 7, 1000, 1])
-def test_interval_runs(spark, width):
+@pytest.mark.parametrize("width, shard_rows", [(10, 0), (7, 0), (1000, 0), (1, 0), (9, 45), (10, 1000)])
+def test_interval_runs(spark, width, shard_rows):
     rnd = random.Random(width)
     rows, by = [], defaultdict(set)
     for _ in range(250):
@@ -115,7 +115,7 @@ def test_interval_runs(spark, width):
             by[key].add((start, end))
     rows += rows[:30]
     df = spark.createDataFrame(rows, "k string, a timestamp, b timestamp, kind string")
-    got = {tuple(r) for r in interval_runs(df, entity=["k"], start="a", end="b", shard_us=width * 1_000_000, groups=3).collect()}
+    got = {tuple(r) for r in interval_runs(df, entity=["k"], start="a", end="b", shard_rows=shard_rows, shard_us=width * 1_000_000, groups=3).collect()}
     assert got == brute_runs(by)
     assert interval_runs(df.limit(0), entity=["k"], start="a", end="b").count() == 0
 
