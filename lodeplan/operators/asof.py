@@ -18,13 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeplan.operators.arrays import codes, longs, ranks, starts
+from lodeplan.operators.slices import cut_points, slice_of
 from lodeplan.sources.tables import cut
 
 OPEN = np.iinfo(np.int64).max
 #: Events of one task's group; entities with more are split over several groups.
 SHARD_ROWS = 50_000
-#: Time slices of an entity with more versions than that.
-SLICES = 256
 
 
 class Forest:
@@ -104,11 +103,6 @@ def search(entity: np.ndarray, known: np.ndarray, valid: np.ndarray, v_entity: n
     return found
 
 
-def _slice(at: str) -> Column:
-    """The time slice of an instant: how many of the entity's cut points it has reached."""
-    return F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col(at))))
-
-
 def _sliced(versions: DataFrame, keys: list[str]) -> DataFrame:
     """Each version in the slices whose events may need it.
 
@@ -117,7 +111,7 @@ def _sliced(versions: DataFrame, keys: list[str]) -> DataFrame:
     a slice whole and were recorded before it, every event of the slice knows all, so only the last
     is ever taken; it is found by an aggregate that shrinks to a row per slice before the shuffle.
     """
-    placed = versions.withColumn("i", _slice("vf")).withColumn("r", _slice("rec")).withColumn("j", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("vt")))))
+    placed = versions.withColumn("i", slice_of("vf")).withColumn("r", slice_of("rec")).withColumn("j", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("vt")))))
     within = F.array_distinct(F.filter(F.array("i", "j", "r"), lambda s: (s >= F.col("i")) & (s <= F.col("j")) & (s >= F.col("r"))))
     copies = placed.withColumn("slice", F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(within))).drop("i", "j", "r")
     first = F.greatest("i", "r") + 1
@@ -171,16 +165,13 @@ def known_as_of(
     own = versions.dropna(subset=[*entity, valid_from, recorded_at]).filter(F.col(valid_to).isNull() | (F.col(valid_to) > F.col(valid_from)))
     own = own.select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.unix_micros(valid_from).alias("vf"), F.coalesce(F.unix_micros(valid_to), F.lit(OPEN)).alias("vt"), F.unix_micros(recorded_at).alias("rec"), F.col(version_id).alias("vid"))
     busy = weights.filter(F.col("n") > shard_rows).select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], F.col("n").alias("n_events"))
-    cuts = F.lit(None).cast("array<bigint>").alias("cuts")
     if valid_at == known_at:
         own = cut(own)  # read three times below, and as a rule the outcome of a longer plan
         # Cut points of the few entities with very many versions; for all others there are none.
-        many = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows)
-        points = F.array_distinct(F.percentile_approx("vf", [i / SLICES for i in range(1, SLICES)], F.lit(10_000)))
-        dense = own.join(many.select(*keys), keys, "left_semi").groupBy(*keys).agg(points.alias("cuts"))
+        dense = cut_points(own, keys, "vf", more_than=shard_rows)
         busy = busy.join(dense, keys, "full_outer")
     else:
-        busy = busy.withColumn("cuts", cuts)
+        busy = busy.withColumn("cuts", F.lit(None).cast("array<bigint>"))
     slices = F.size(F.coalesce("cuts", F.array().cast("array<bigint>"))) + 1
     hot = cut(busy.select(*keys, F.greatest(F.lit(1), F.ceil(F.coalesce("n_events", F.lit(0)) / shard_rows / slices)).cast("int").alias("splits"), "cuts"))
 
@@ -191,7 +182,7 @@ def known_as_of(
         events.dropna(subset=[*entity, valid_at, known_at])
         .select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], *ids, F.unix_micros(valid_at).alias("valid"), F.unix_micros(known_at).alias("known"))
         .join(hot, keys, "left")
-        .withColumn("slice", _slice("valid"))
+        .withColumn("slice", slice_of("valid"))
         .withColumn("salt", F.pmod(F.xxhash64(*[f"e{i}" for i in range(len(event_id))]), splits).cast("int"))
         .withColumn("shard", shard)
         .drop("salt", "slice", "splits", "cuts")

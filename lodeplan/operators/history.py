@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from lodeplan.functions.keys import folded
 from lodeplan.operators.arrays import codes, longs
+from lodeplan.operators.slices import cut_points, slice_of
 from lodeplan.sources.tables import cut
 
 #: Updates of one entity that are worked on in one piece.
@@ -114,13 +115,12 @@ def build_ledger(updates: DataFrame, *, entity: list[str], at: str, received: st
     rows = updates.select(*[F.col(c).alias(n) for c, n in zip(entity, k)], F.unix_micros(at).alias("at"), F.unix_micros(received).alias("rec"), F.col(row).alias("rid"), F.coalesce(is_delete, F.lit(False)).alias("gone"), *[F.col(c).alias(n) for c, n in zip(attributes, a)]).dropna(subset=[*k, "at", "rec"])
     if groups is None:
         groups = max(1, -(-updates.count() // shard_rows))
-    many = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).filter(F.col("n") > shard_rows)
-    hot = cut(many.withColumn("n_shards", F.ceil(F.col("n") / shard_rows).cast("int")).withColumn("width", F.expr("(hi - lo) div n_shards + 1")).select(*k, "lo", "width", "n_shards"))
+    hot = cut(cut_points(rows, k, "at", more_than=shard_rows))
     placed = (
         rows.join(hot, k, "left")
-        .withColumn("shard", F.coalesce(F.expr("cast((at - lo) div width as int)"), F.lit(0)))
-        .withColumn("n_shards", F.coalesce("n_shards", F.lit(1)))
-        .drop("lo", "width")
+        .withColumn("shard", slice_of("at"))
+        .withColumn("n_shards", F.size(F.coalesce("cuts", F.array().cast("array<bigint>"))) + 1)
+        .drop("cuts")
         .withColumn("grp", F.pmod(F.xxhash64(*k, "shard"), F.lit(groups)).cast("int"))
     )
     fields = [T.StructField(n, rows.schema[n].dataType) for n in k] + [T.StructField(n, T.IntegerType()) for n in ("shard", "n_shards")]
@@ -178,7 +178,9 @@ def history(ledger: DataFrame, *, entity: list[str], attributes: list[str], fold
     for i, n in enumerate(v):
         filled = filled.withColumn(n, F.when(F.col("inherits")[i], F.col(f"c{i}")).otherwise(F.col(n)))
     seen = lambda prefix: F.struct(*[(folded(F.col(f"{prefix}{i}")) if c in fold else F.col(f"{prefix}{i}")).alias(f"x{i}") for i, c in enumerate(attributes)])
-    w = Window.partitionBy(*k, "shard").orderBy("at")
+    # n_shards is the same for all rows of an entity; as a partition column it lets filters on it
+    # through the windows, down to the ledger's files.
+    w = Window.partitionBy(*k, "n_shards", "shard").orderBy("at")
     first = F.row_number().over(w) == 1
     filled = (
         filled.withColumn("seen", seen("v"))
