@@ -117,7 +117,7 @@ def current_references(index: DataFrame, *, child: list[str], carry: str, key: s
 def snapshot_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     """Dangling references within full snapshots.
 
-    ``references``: any columns plus (ref_key, ord); ``parents``: (ref_key, ord), ord being the
+    ``references``: any columns but ``held`` and ``reason``, plus (ref_key, ord); ``parents``: (ref_key, ord), ord being the
     snapshot's ordinal. A reference dangles if its own snapshot doesn't hold the key: ``deleted``
     if an earlier one does, else ``late`` if a later one does, else ``missing``. The state of a
     key is the sorted set of its ordinals, as long as the list of snapshots at most. Null keys

@@ -41,22 +41,20 @@ def diff_snapshots(rows: DataFrame, order: DataFrame, *, keys: list[str], compar
     nothing. A null key is a key like any other; a null compared value differs from every other
     value. Empty input gives an empty result.
     """
-    current = (
-        rows.join(order.select(snapshot, "ord", "is_last"), snapshot)
-        .select(*keys, "ord", "is_last", F.struct(*latest, canonical_hash(*compare).alias("hash")).alias("row"))
-        .groupBy(*keys, "ord", "is_last")
-        .agg(F.max("row")["hash"].alias("hash"))
-    )
-    later = current.filter("ord > 1").select(*keys, "ord", "hash")
-    before = current.filter("not is_last").select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("ord") + 1).alias("_ord"), F.col("hash").alias("_hash"))
+    k = [f"k{i}" for i in range(len(keys))]
+    narrow = rows.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col(snapshot).alias("snap"), F.struct(*latest, canonical_hash(*compare).alias("_hash")).alias("row"))
+    steps = order.select(F.col(snapshot).alias("snap"), "ord", "is_last")
+    current = narrow.join(steps, "snap").groupBy(*k, "ord", "is_last").agg(F.max("row")["_hash"].alias("hash"))
+    later = current.filter("ord > 1").select(*k, "ord", "hash")
+    before = current.filter("not is_last").select(*[F.col(n).alias(f"_{n}") for n in k], (F.col("ord") + 1).alias("_ord"), F.col("hash").alias("_hash"))
     on = F.col("ord") == F.col("_ord")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    for n in k:
+        on = on & F.col(n).eqNullSafe(F.col(f"_{n}"))
     change = F.when(F.col("_hash").isNull(), "added").when(F.col("hash").isNull(), "removed").when(F.col("hash") != F.col("_hash"), "changed")
     changes = (
         later.join(before, on, "full_outer")
         .withColumn("change", change)
         .filter(F.col("change").isNotNull())
-        .select(*[F.when(F.col("hash").isNull(), F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in keys], F.coalesce("ord", "_ord").alias("ord"), "change")
+        .select(*[F.when(F.col("hash").isNull(), F.col(f"_{n}")).otherwise(F.col(n)).alias(n) for n in k], F.coalesce("ord", "_ord").alias("ord"), "change")
     )
-    return changes.join(order.select(snapshot, "ord"), "ord").select(*keys, snapshot, "change")
+    return changes.join(steps, "ord").select(*[F.col(n).alias(c) for n, c in zip(k, keys)], F.col("snap").alias(snapshot), "change")
