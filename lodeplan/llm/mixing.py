@@ -81,8 +81,12 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id",
     share of the mix in percent, and ``short``: whether it couldn't fill its target. A source
     without documents draws nothing and is short if its target isn't 0. Slots that a short source
     can't fill stay empty; its share isn't given to others. Null sources belong to no target but
-    count in the total; zero or null percentages draw nothing. Empty documents give targets of 0.
+    count in the total; zero or null percentages draw nothing. Empty documents give targets of 0. Of
+    several rows for one mix and source the greatest values hold; a null mix or source is no target.
+    Other columns of both inputs are ignored.
     """
+    sizes = sizes.select(doc_id, source, n_tokens)
+    targets = targets.dropna(subset=["mix_id", source]).groupBy("mix_id", source).agg(*[F.max(c).alias(c) for c in ("target_percent", "max_repeats", "size_percent")])
     if buckets is None:
         buckets = max(1, -(-sizes.count() // BUCKET_ROWS))
     total = sizes.agg(F.sum(n_tokens)).first()[0] or 0

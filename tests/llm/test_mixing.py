@@ -77,3 +77,12 @@ def test_found_matches_arithmetic(spark, data):
     want = {(t.mix_id, t.source) for t in targets.itertuples() if int(have.get(t.source, 0)) * t.max_repeats * 10000 < t.target_percent * t.size_percent * int(total)}
     assert {tuple(r) for r in p8_found(spark, data).collect()} == want
     assert isinstance(documents, pd.DataFrame)
+
+
+def test_dirty_targets_and_clashing_columns(spark, sizes):
+    names = "mix_id string, source string, target_percent int, max_repeats int, size_percent int, have long, slot int, need int"
+    targets = spark.createDataFrame([("m", "big", 50, 1, 10, 1, 1, 1)] * 2 + [("m", "small", None, 1, 10, 1, 1, 1), (None, "big", 50, 1, 10, 1, 1, 1), ("m", None, 50, 1, 10, 1, 1, 1), ("m", "empty", 50, 2, 10, 1, 1, 1)], names)
+    drawn, shares = mix_sources(sizes.selectExpr("*", "1 as start", "2 as bucket", "3 as mix_id"), targets, block_tokens=40, buckets=5)
+    got = {r.source: r for r in shares.collect()}
+    assert set(got) == {"big", "small", "empty"} and not got["big"].short and got["empty"].short and not got["small"].short
+    assert got["small"].drawn_tokens == 0 and drawn.filter("source = 'big'").groupBy("doc_id").count().filter("count > 1").count() == 0
