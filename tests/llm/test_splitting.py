@@ -76,7 +76,7 @@ def test_whole_table_round_trip(spark, data):
 
     got = p9_pieces(spark, data).toPandas().sort_values(["doc_id", "piece_no"])
     documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id").text
-    joined = got.groupby("doc_id").apply(lambda p: "".join(t[b:] for t, b in zip(p.text.fillna(""), p.overlap_chars)))
+    joined = got.groupby("doc_id")[["text", "overlap_chars"]].apply(lambda p: "".join(t[b:] for t, b in zip(p.text.fillna(""), p.overlap_chars)))
     assert all(joined[i] == (documents[i] or "") for i in documents.index)
     assert got.n_tokens.max() <= 1024
     assert {r[0] for r in p9_found(spark, data).collect()} == {i for i, t in documents.items() if size(t or "") > 1024}
