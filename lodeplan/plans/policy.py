@@ -108,7 +108,7 @@ def decisions(objects: DataFrame, policy: Policy, *, id: str) -> DataFrame:
     ids = objects.select(F.col(id).alias("id")).dropna().distinct()
     parts = F.split("id", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "."), F.lit(".*")))
-    hits = ids.withColumn("pattern", F.explode(F.array_append(prefixes, F.col("id")))).join(F.broadcast(table), "pattern").join(F.broadcast(effects), "rule_action")
+    hits = ids.withColumn("pattern", F.explode(F.array_append(prefixes, F.col("id")))).join(table, "pattern").join(effects, "rule_action")
     exact = (F.col("pattern") == F.col("id")) & ~F.col("deny")
     # cascaded: false for the action itself, true for a wider deny, null for read implying use.
     own = F.col("cascaded").eqNullSafe(False)

@@ -40,10 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many partitions as the cluster has cores, if it comes in fewer.
+    """``df`` over as many partitions as the cluster has cores, if it would come in fewer.
 
     For work that is heavy per row and would otherwise be bound to the few row groups of a small
-    file. Large inputs come in more partitions and are left as they are.
+    file. What is large by Spark's estimate, or lies in as many files as there are cores, is left
+    as it is. Looks at statistics only; nothing runs.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    partition_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * partition_bytes or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)

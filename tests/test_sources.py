@@ -10,10 +10,14 @@ def test_cut_keeps_rows_and_schema_in_the_shared_folder(spark):
     assert cut(df.limit(0)).count() == 0
 
 
-def test_spread_only_widens(spark):
+def test_spread_only_widens(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
-    assert spread(spark.range(10).repartition(cores + 3)).rdd.getNumPartitions() == cores + 3
+    for n, widened in ((1, True), (cores, False)):
+        spark.range(100).repartition(n).write.parquet(str(tmp_path / str(n)))
+        read = spark.read.parquet(str(tmp_path / str(n)))
+        assert ("RoundRobin" in spread(read)._jdf.queryExecution().executedPlan().toString()) == widened
+        assert spread(read).count() == 100
 
 
 def test_columns_are_pruned_and_filters_pushed(spark, data):
