@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeplan.plans.binding import Bound, Request, bind
+from lodeplan.plans.binding import MAX_ROWS, Bound, Request, bind
 from lodeplan.plans.catalog import Catalog
 from lodeplan.plans.errors import Reason, Refused
 from lodeplan.plans.frames import Resolver, attestations, build, combine, ordered, preflight, within_tenant
@@ -129,7 +129,7 @@ def answer(catalog: Catalog, policy: Policy, principal: str, request: Request, r
         policy.check_current(bounds[0].scope)
         preflight(df)
         out.attested = attest(bounds, within_tenant(resolver, catalog, bounds[0].scope.tenant))
-        rows = fetch(df, request.limit, timeout_s)
+        rows = fetch(df, MAX_ROWS, timeout_s)
         out.notes = verify(df.columns, rows, bounds[0].keys, [b.measure for b in bounds])
         for bound in bounds:
             bound.scope.require("disclose", bound.metric.id, *[c for _, c in bound.dimensions])

@@ -125,11 +125,13 @@ def combine(parts: list[tuple[Bound, DataFrame]]) -> DataFrame:
     return out
 
 
-def ordered(df: DataFrame, keys: list[str], order_by: tuple[tuple[str, str], ...], limit: int) -> DataFrame:
-    """Ordered by the given columns, then by all keys so that a limit is deterministic; nulls last."""
+def ordered(df: DataFrame, keys: list[str], order_by: tuple[tuple[str, str], ...], limit: int | None) -> DataFrame:
+    """Ordered by the given columns, then by all keys so that a limit is deterministic; nulls last.
+    Only a limit that was asked for cuts."""
     named = [*order_by, *[(k, "asc") for k in keys if k not in dict(order_by)]]
     columns = [F.asc_nulls_last(n) if d == "asc" else F.desc_nulls_last(n) for n, d in named]
-    return (df.orderBy(*columns) if columns else df).limit(limit)
+    df = df.orderBy(*columns) if columns else df
+    return df if limit is None else df.limit(limit)
 
 
 def attestations(bound: Bound, resolver: Resolver) -> list[tuple[str, DataFrame]]:
