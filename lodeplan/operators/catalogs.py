@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeplan.functions.text import short_id
@@ -36,9 +36,10 @@ def metric_closure(values: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def activated_rules(closure: DataFrame, rule_values: DataFrame, rules: DataFrame) -> DataFrame:
-    """(snapshot_id, metric_id, rule_id): rules that a metric's columns or tables activate.
+    """(snapshot_id, metric_id, rule_id): rules that a metric's columns or their tables activate.
 
-    Equality joins on the activation's object; rules that always apply aren't listed per metric.
+    Only the ops uses_column and uses_table, and only tables of named columns; all that the
+    tables can decide is in :func:`decidable_rules`.
     """
     parts = rule_values.filter("field = 'activation' and parent_path = 'activation'").groupBy("record_id").agg(F.max(F.when(F.col("key") == "op", F.lower("value"))).alias("op"), F.max(F.when(F.col("key") == "object_id", F.lower("value"))).alias("object_id"))
     active = parts.filter("op in ('uses_column', 'uses_table') and object_id is not null").join(rules.select("record_id", "snapshot_id", F.col("id").alias("rule_id")), "record_id").select("snapshot_id", "rule_id", "op", "object_id").distinct()
@@ -46,6 +47,43 @@ def activated_rules(closure: DataFrame, rule_values: DataFrame, rules: DataFrame
     return uses.join(active, ["snapshot_id", "op", "object_id"]).select("snapshot_id", "metric_id", "rule_id").distinct()
 
 
+def metric_tables(closure: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(snapshot_id, id, version, table_id): the tables of a metric's columns and its base table."""
+    base = metrics.select(*PINNED, F.lower(F.trim("base_table")).alias("table_id")).dropna(subset=["table_id"])
+    return closure.select(*PINNED, "table_id").unionByName(base).distinct()
+
+
+def decidable_rules(closure: DataFrame, rule_values: DataFrame, rules: DataFrame, metrics: DataFrame, tables: DataFrame) -> DataFrame:
+    """(snapshot_id, metric_id, rule_id): every rule that a metric activates by what the catalog's tables say.
+
+    Decided, each by an equality join within the snapshot: uses_column; uses_table and
+    any_scan_with_tag, over the metric's tables with its base table (tags as last delivered);
+    uses_metric, by id or id@version. An activation that names no object activates nothing. The
+    tables can't decide population_contains_entity (metrics state no entity there) and slot_unset
+    (a matter of the request); ``always`` holds for every metric and isn't listed. These are
+    activations by the metric itself, before rules bring in tables of their own.
+    """
+    named = lambda key: F.max(F.when(F.col("key") == key, F.lower(F.trim("value")))).alias(key)
+    parts = rule_values.filter("field = 'activation' and parent_path = 'activation'").groupBy("record_id").agg(*map(named, ("op", "object_id", "tag", "metric_ref")))
+    object_id = F.when(F.col("op").isin("uses_column", "uses_table"), F.col("object_id")).when(F.col("op") == "any_scan_with_tag", F.col("tag")).when(F.col("op") == "uses_metric", F.col("metric_ref"))
+    active = parts.withColumn("object_id", object_id).dropna(subset=["object_id"]).join(rules.select("record_id", "snapshot_id", F.col("id").alias("rule_id")), "record_id").select("snapshot_id", "rule_id", "op", "object_id").distinct()
+
+    def uses(op: str, df: DataFrame, object_id: Column) -> DataFrame:
+        return df.select("snapshot_id", F.col("id").alias("metric_id"), F.lit(op).alias("op"), object_id.alias("object_id"))
+
+    reached = metric_tables(closure, metrics)
+    tags = latest(tables).select("snapshot_id", F.lower(F.trim("id")).alias("table_id"), F.explode("tags").alias("tag"))
+    fold = lambda c: F.lower(F.trim(c))
+    every = [
+        uses("uses_column", closure, F.col("column_id")),
+        uses("uses_table", reached, F.col("table_id")),
+        uses("any_scan_with_tag", reached.join(tags, ["snapshot_id", "table_id"]), fold("tag")),
+        uses("uses_metric", metrics, fold("id")),
+        uses("uses_metric", metrics, F.concat(fold("id"), F.lit("@"), F.col("version").cast("string"))),
+    ]
+    return reduce(DataFrame.unionByName, every).distinct().join(active, ["snapshot_id", "op", "object_id"]).select("snapshot_id", "metric_id", "rule_id").distinct()
+
+
 def unresolved(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     """(check, snapshot_id, id, ref): references a snapshot doesn't hold.
 

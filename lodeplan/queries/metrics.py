@@ -355,6 +355,42 @@ def rules_by_metric(spark, folder):
     return catalogs.activated_rules(_closure(spark, folder), values, table(spark, folder, "catalog_rules"))
 
 
+# What the two queries above leave out by their SQL: base tables, tags, metrics that rules name.
+_TABLES = _CLOSURE + """, reached AS (SELECT snapshot_id, id, version, table_id FROM closure UNION SELECT snapshot_id, id, version, lower(trim(base_table)) FROM catalog_metrics WHERE base_table IS NOT NULL)"""
+
+
+@query(
+    _TABLES
+    + """, c AS (SELECT snapshot_id, id, version, count(DISTINCT column_id) AS n_columns, sum((part = 'measure')::INT) AS n_measure FROM closure GROUP BY ALL),
+t AS (SELECT snapshot_id, id, version, count(DISTINCT table_id) AS n_tables FROM reached GROUP BY ALL)
+SELECT snapshot_id, id, version, coalesce(n_columns, 0) AS n_columns, n_tables, CAST(coalesce(n_measure, 0) AS BIGINT) AS n_measure FROM t LEFT JOIN c USING (snapshot_id, id, version)"""
+)
+def metric_closures_with_base(spark, folder):
+    closure = _closure(spark, folder)
+    counts = closure.groupBy(*catalogs.PINNED).agg(F.count_distinct("column_id").alias("n_columns"), F.sum((F.col("part") == "measure").cast("long")).alias("n_measure"))
+    reached = catalogs.metric_tables(closure, table(spark, folder, "catalog_metrics")).groupBy(*catalogs.PINNED).agg(F.count("table_id").alias("n_tables"))
+    return reached.join(counts, catalogs.PINNED, "left").fillna(0, ["n_columns", "n_measure"]).select(*catalogs.PINNED, "n_columns", "n_tables", "n_measure")
+
+
+@query(
+    _TABLES
+    + f""", a AS (
+  SELECT record_id, max(CASE WHEN key = 'op' THEN lower(trim(v ->> '$')) END) AS op, max(CASE WHEN key = 'object_id' THEN lower(trim(v ->> '$')) END) AS object_id,
+         max(CASE WHEN key = 'tag' THEN lower(trim(v ->> '$')) END) AS tag, max(CASE WHEN key = 'metric_ref' THEN lower(trim(v ->> '$')) END) AS metric_ref
+  FROM n WHERE object_type = 'rule' AND field = 'activation' AND parent = 'activation' AND json_type(v) = 'VARCHAR' GROUP BY record_id),
+r AS (SELECT DISTINCT snapshot_id, id AS rule_id, op, object_id, tag, metric_ref FROM a JOIN catalog_rules USING (record_id)),
+g AS (SELECT DISTINCT m.snapshot_id, m.id, lower(trim(tag)) AS tag FROM reached m JOIN (SELECT snapshot_id, id, unnest(tags) AS tag FROM ({_LATEST.format('catalog_tables')})) t ON t.snapshot_id = m.snapshot_id AND lower(trim(t.id)) = m.table_id)
+SELECT c.snapshot_id, c.id AS metric_id, r.rule_id FROM closure c JOIN r ON r.snapshot_id = c.snapshot_id AND r.op = 'uses_column' AND r.object_id = c.column_id
+UNION SELECT c.snapshot_id, c.id, r.rule_id FROM reached c JOIN r ON r.snapshot_id = c.snapshot_id AND r.op = 'uses_table' AND r.object_id = c.table_id
+UNION SELECT g.snapshot_id, g.id, r.rule_id FROM g JOIN r ON r.snapshot_id = g.snapshot_id AND r.op = 'any_scan_with_tag' AND r.tag = g.tag
+UNION SELECT m.snapshot_id, m.id, r.rule_id FROM catalog_metrics m JOIN r ON r.snapshot_id = m.snapshot_id AND r.op = 'uses_metric' AND r.metric_ref IN (lower(trim(m.id)), lower(trim(m.id)) || '@' || m.version)"""
+)
+def rules_by_metric_decidable(spark, folder):
+    values = _flat(spark, folder, ("string",)).filter("object_type = 'rule'")
+    t = lambda n: table(spark, folder, n)
+    return catalogs.decidable_rules(_closure(spark, folder), values, t("catalog_rules"), t("catalog_metrics"), t("catalog_tables"))
+
+
 def _cards(spark: SparkSession, folder: str) -> DataFrame:
     t = lambda n: table(spark, folder, n)
     return catalogs.cards(t("catalog_tables"), t("catalog_columns"), t("catalog_metrics"), t("catalog_relationships"))
