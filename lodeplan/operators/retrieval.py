@@ -50,10 +50,11 @@ def permitted(cards: DataFrame, principal: Principal, snapshot_id: str, *, types
     return visible(own, spark.createDataFrame(denied, "id string"), id="object_id") if denied else own
 
 
-def top(scored: DataFrame, k: int) -> DataFrame:
-    """The best k per query with their rank."""
+def top(scored: DataFrame, k: int | None) -> DataFrame:
+    """The best k per query with their rank; all of them if k is None."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def bm25(documents: DataFrame, queries: DataFrame, *, doc_id: str, text: str, k: int | None, keep: str | None = None) -> DataFrame:

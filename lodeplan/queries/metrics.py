@@ -502,6 +502,32 @@ def rrf_capped_per_page(spark, folder):
     return retrieval.cap_per_source(fused.join(pages, "doc_id"), source="page_id").filter("rank <= 10").select("query_id", "doc_id", "page_id", "rank")
 
 
+# The two queries above fuse the best 20 of each branch, as their SQL says; these fuse whole rankings.
+_WHOLE_RRF = _RRF.replace(" QUALIFY rank <= 20", "")
+
+
+def _whole_fused(spark: SparkSession, folder: str, k: int | None = None) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "title", "text")
+    queries = documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
+    branches = [retrieval.top(retrieval.bm25(documents, queries, doc_id="doc_id", text=field, k=None), None) for field in ("title", "text")]
+    return retrieval.fuse(*branches, k=k)
+
+
+@query(_WHOLE_RRF + " SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM rrf WHERE rank <= 10")
+def rrf_whole_title_and_text(spark, folder):
+    return _whole_fused(spark, folder, k=10).select("query_id", "doc_id", "score", "rank")
+
+
+@query(
+    _WHOLE_RRF
+    + """, c AS (SELECT query_id, doc_id, page_id, r.rank AS old FROM rrf r JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, page_id ORDER BY r.rank) <= 3),
+n AS (SELECT query_id, doc_id, page_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY old) AS INT) AS rank FROM c) SELECT * FROM n WHERE rank <= 10"""
+)
+def rrf_whole_capped_per_page(spark, folder):
+    pages = table(spark, folder, "documents", "doc_id", "page_id")
+    return retrieval.cap_per_source(_whole_fused(spark, folder).join(pages, "doc_id"), source="page_id").filter("rank <= 10").select("query_id", "doc_id", "page_id", "rank")
+
+
 @query(_RRF + """, every AS (SELECT query_id, doc_id, score FROM scored WHERE score > 0 UNION ALL SELECT query_id, doc_id, score * 2.0 FROM scored_t WHERE score > 0),
 both_ AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM every GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM both_)
 SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 5""")
