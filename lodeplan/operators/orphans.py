@@ -46,8 +46,8 @@ def merge_index(a: DataFrame | None, b: DataFrame, key: list[str]) -> DataFrame:
 
 
 def verdict(child_at: Column, parent_at: Column, parent_gone: Column) -> Column:
-    """Why a reference dangles, or null if it holds."""
-    return F.when(parent_at.isNull(), MISSING).when(parent_gone, DELETED).when(parent_at > child_at, LATE)
+    """Why a reference dangles, or null if it holds. ``parent_gone`` is null only for an absent parent; nothing is late without both times."""
+    return F.when(parent_gone.isNull(), MISSING).when(parent_gone, DELETED).when(parent_at > child_at, LATE)
 
 
 @dataclass
@@ -71,6 +71,7 @@ class OrphanTracker:
     counts: list[DataFrame] = field(default_factory=list)
 
     def _probe(self, references: DataFrame, parents: DataFrame) -> DataFrame:
+        # No delivery has a null in ``gone``, so it marks a parent's presence whatever its times.
         found = parents.select(*self.key, F.col("first_at").alias("_at"), F.col("last.gone").alias("_gone"))
         return references.join(found, self.key, "left")
 
@@ -92,7 +93,7 @@ class OrphanTracker:
             # Only keys that this batch delivered can change a settled or a waiting reference.
             touched = parents.join(arrived.select(*self.key), self.key, "left_semi")
             old = self._probe(self.references, touched)
-            again = F.when(F.col("_at").isNull(), F.col("reason")).otherwise(verdict(F.col("at"), F.col("_at"), F.col("_gone")))
+            again = F.when(F.col("_gone").isNull(), F.col("reason")).otherwise(verdict(F.col("at"), F.col("_at"), F.col("_gone")))
             state = old.withColumn("reason", again).drop("_at", "_gone").unionByName(fresh)
         return OrphanTracker(self.key, self.child, cut(state) if keep else state, parents, self.counts)
 
@@ -100,9 +101,9 @@ class OrphanTracker:
         return [k for k in self.key if k not in self.child]
 
     def report(self) -> DataFrame:
-        """child + key + (at, reason): one row per dangling child and key; ``at`` is its arrival."""
+        """child + key + (at, reason): one row per dangling child and key; ``at`` is its arrival, null only if no time is known."""
         columns = [*self.child, *self._extra()]
-        return self.references.filter(F.col("reason").isNotNull()).groupBy(*columns).agg(F.min(F.struct("at", "reason")).alias("x")).select(*columns, "x.at", "x.reason")
+        return self.references.filter(F.col("reason").isNotNull()).groupBy(*columns).agg(F.min(F.struct(F.col("at").isNull().alias("untimed"), "at", "reason")).alias("x")).select(*columns, "x.at", "x.reason")
 
     def snapshot_counts(self, as_of: Column) -> DataFrame:
         """(as_of, period, reason, n): the dangling references of the state, by month of arrival."""

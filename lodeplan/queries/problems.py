@@ -53,9 +53,13 @@ def _commerce_states(spark: SparkSession, folder: str, increments: int) -> tuple
     cuts = [(low + (high - low) * i / increments).replace(minute=0, second=0, microsecond=0) for i in range(1, increments)] if low else []
 
     def batch(df: DataFrame, at: str, i: int) -> DataFrame:
+        """Rows of batch i; those without a time belong to the first."""
         if i > 0:
             df = df.filter(F.col(at) >= F.lit(cuts[i - 1]))
-        return df.filter(F.col(at) < F.lit(cuts[i])) if i < len(cuts) else df
+        if i == len(cuts):
+            return df
+        within = F.col(at) < F.lit(cuts[i])
+        return df.filter(within | F.col(at).isNull() if i == 0 else within)
 
     lines = OrphanTracker(["tenant_id", "order_id"], ["tenant_id", "order_id", "line_number"])
     index, known, counts = None, None, []
