@@ -44,19 +44,19 @@ def _covered(text: str) -> np.ndarray:
 
     An opening without its end, or an end without opening, is ordinary text.
     """
-    stack: list[tuple[str, int]] = []
+    opened: dict[str, list[int]] = {"{{": [], "{|": []}
     spans: list[tuple[int, int]] = []
     for match in _PAIRS.finditer(text):
         mark = match[0]
-        if mark in ("{{", "{|"):
-            stack.append((mark, match.start()))
+        if mark in opened:
+            opened[mark].append(match.start())
             continue
-        opener = "{{" if mark == "}}" else "{|"
-        for back in range(len(stack) - 1, max(-1, len(stack) - 9), -1):
-            if stack[back][0] == opener:
-                spans.append((stack[back][1], match.end()))
-                del stack[back:]
-                break
+        own, other = (opened["{{"], opened["{|"]) if mark == "}}" else (opened["{|"], opened["{{"])
+        if own:
+            start = own.pop()
+            spans.append((start, match.end()))
+            while other and other[-1] > start:
+                other.pop()
     outer: list[int] = []
     for a, b in sorted(spans):
         if not outer or a >= outer[-1]:
