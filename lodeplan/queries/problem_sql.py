@@ -167,4 +167,5 @@ SELECT f.tenant_id, f.order_id, f.version_id FROM found f JOIN last l USING (ten
     "p5_found": _LEVELS + f" SELECT kind, tenant_id, customer_id, min(t) AS from_us, {_TO} FROM grouped WHERE kind <> 'single' GROUP BY kind, tenant_id, customer_id, g",
     "p5_periods": _LEVELS + f" SELECT tenant_id, customer_id, min(t) AS from_us, {_TO} FROM grouped WHERE cover = 'period' GROUP BY tenant_id, customer_id, h",
     "p6_found": _P6,
+    "p6_believed": _P6.replace("received_at IS NOT NULL", "received_at <= TIMESTAMPTZ '2025-01-01 00:00:00+00'"),
 }

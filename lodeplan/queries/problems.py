@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -194,10 +196,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return versions.select("tenant_id", "customer_id", "from_us", F.coalesce("to_us", F.lit(-1)).alias("to_us"))
 
 
+def p6_believed(spark: SparkSession, folder: str) -> DataFrame:
+    """The versions as they were believed at the start of 2025, before later updates came in."""
+    then = int(datetime(2025, 1, 1, tzinfo=timezone.utc).timestamp()) * 1_000_000
+    versions = history(_ledger(spark, folder), entity=CUSTOMER, attributes=ATTRIBUTES, fold=["region_name"], as_of_us=then)
+    return versions.select("tenant_id", "customer_id", "from_us", F.coalesce("to_us", F.lit(-1)).alias("to_us"))
+
+
 def p6_superseded(spark: SparkSession, folder: str) -> DataFrame:
     """Ledger rows and how many of them later updates superseded, per tenant."""
     ledger = _ledger(spark, folder)
     return ledger.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("recorded_to_us").alias("n_superseded"), F.count_distinct("customer_id").alias("n_customers"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_column_references, p2_found, p2_counts, p3_found, p3_summary, p4_found, p4_regions, p5_found, p5_periods, p6_found, p6_superseded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_column_references, p2_found, p2_counts, p3_found, p3_summary, p4_found, p4_regions, p5_found, p5_periods, p6_found, p6_believed, p6_superseded)}

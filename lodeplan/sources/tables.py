@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -18,15 +20,39 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session, or the one that the
     context was given for checkpoints.
 
-    Only where neither is set (tests on one machine) a temporary folder stands in.
+    Where neither is set, a session on one machine gets a temporary folder; on a cluster, whose
+    executors would each write to their own disk, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodeplan-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _storage(spark: SparkSession, path: str) -> tuple[object, object]:
+    """The file system that holds ``path``, and the path in its terms."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def scratch(spark: SparkSession, name: str = "cut") -> str:
+    """A new path in the shared folder. All of an application's go when the application ends."""
+    root = f"{shared_dir(spark)}/lodeplan-{spark.sparkContext.applicationId}"
+    storage, where = _storage(spark, root)
+    storage.mkdirs(where)
+    storage.deleteOnExit(where)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, if it is there."""
+    storage, where = _storage(spark, path)
+    storage.delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: same rows, no lineage.
 
@@ -34,11 +60,21 @@ def cut(df: DataFrame) -> DataFrame:
     ``checkpoint()`` because it is compressed and keeps column statistics for pruning.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeplan-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_range(df: DataFrame, parts: int, *columns: str) -> DataFrame:
+    """``df`` in ``parts`` ranges of ``columns`` of about equal numbers of rows, numbered in ``slice``.
+
+    Ranges are cut wherever the rows are many, within a key as well, so a hot key is spread over
+    as many tasks as its share of the rows asks for. The cuts are sampled once and kept by the
+    exchange: a task that is tried again gets the same rows.
+    """
+    return df.repartitionByRange(parts, *columns).withColumn("slice", F.spark_partition_id())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as the cluster has cores, if it would come in fewer.
 
