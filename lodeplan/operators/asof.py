@@ -3,8 +3,8 @@
 Each event is matched with the version valid at its valid time that was recorded last among
 those recorded by its known time, never with one recorded later.
 
-Method: per entity a persistent segment tree over valid time. Versions are inserted in the order
-in which they became known; each insertion copies the nodes on its paths and makes a new root, so
+Method: per entity a persistent segment tree over valid time. Versions are painted in the order
+in which they became known; each copies the nodes on its paths and has a root of its own, so
 every earlier state stays readable. An event picks the root of its known time and descends by its
 valid time; the highest mark on its path is the version that was recorded last.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,36 +22,69 @@ from lodeplan.operators.slices import cut_points, slice_of
 from lodeplan.sources.tables import cut
 
 OPEN = np.iinfo(np.int64).max
-#: Events of one task's group; entities with more are split over several groups.
+#: Events and versions of one task's group; entities with more are split over several groups.
 SHARD_ROWS = 50_000
 
 
 class Forest:
-    """Persistent segment trees of many entities in shared arrays; node 0 is the empty tree."""
+    """Persistent segment trees of many entities, built level by level for all versions at once.
 
-    def __init__(self) -> None:
-        self.left, self.right, self.mark = [0], [0], [-1]
-
-    def _node(self, left: int, right: int, mark: int) -> int:
-        self.left.append(left)
-        self.right.append(right)
-        self.mark.append(mark)
-        return len(self.mark) - 1
-
-    def paint(self, node: int, lo: int, hi: int, a: int, b: int, mark: int) -> int:
-        """A copy of the tree ``node`` over leaves [lo, hi) with [a, b) painted by ``mark``."""
-        left, right = self.left[node], self.right[node]
-        if a <= lo and hi <= b:
-            return self._node(left, right, mark)
-        middle = (lo + hi) // 2
-        if a < middle:
-            left = self.paint(left, lo, middle, a, b, mark)
-        if b > middle:
-            right = self.paint(right, middle, hi, a, b, mark)
-        return self._node(left, right, self.mark[node])
+    Version ``v`` of tree ``tree[v]`` paints the leaves [low, high). It copies the nodes on its
+    paths, so that each version has a root of its own and every earlier state stays readable; what
+    it doesn't touch it shares with the versions before. Versions are sorted by tree, and within it
+    by the order in which they are painted. A tree has 2^depth leaves.
+    """
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.left), np.array(self.right), np.array(self.mark)
+    def __init__(self, tree: np.ndarray, low: np.ndarray, high: np.ndarray, depth: np.ndarray) -> None:
+        n, levels = len(tree), int(depth.max(initial=0)) + 1
+        version, place = np.arange(n), np.zeros(n, np.int64)
+        self.left, self.right, self.mark = ([np.zeros(1, np.int64)] for _ in range(3))
+        self.mark = [np.full(1, -1)]
+        self.depth, count, above = depth, 1, None
+        for level in range(levels):
+            # Nodes of this level in the order of (tree, place, version); ``key`` finds them.
+            offset = np.cumsum(np.where(depth >= level, 1 << level, 0)) - (1 << level)
+            order = np.argsort((offset[tree[version]] + place) * n + version)
+            version, place = version[order], place[order]
+            spot = offset[tree[version]] + place
+            key = spot * n + version
+            if above is not None:
+                self._link(*above, offset, key, n, count)
+            shift = depth[tree[version]] - level
+            full = (low[version] <= place << shift) & ((place + 1) << shift <= high[version])
+            # A copied node keeps the mark of the version before it at this place.
+            last = np.maximum.accumulate(np.where(full, np.arange(len(full)), -1))
+            begin = np.maximum.accumulate(np.where(starts(spot), np.arange(len(spot)), 0))
+            self.mark.append(np.where(last >= begin, version[np.maximum(last, 0)], -1))
+            self.left.append(np.zeros(len(key), np.int64))
+            self.right.append(np.zeros(len(key), np.int64))
+            above, count = (tree[version], place, version, depth[tree[version]] > level), count + len(key)
+            # Nodes painted in part go on to the children they reach.
+            part = ~full
+            version = np.repeat(version[part], 2)
+            place = (2 * place[part][:, None] + np.arange(2)).ravel()
+            shift = depth[tree[version]] - level - 1
+            reached = (place << shift < high[version]) & ((place + 1) << shift > low[version])
+            version, place = version[reached], place[reached]
+        self.left, self.right, self.mark = map(np.concatenate, (self.left, self.right, self.mark))
+
+    def _link(self, tree: np.ndarray, place: np.ndarray, version: np.ndarray, inner: np.ndarray, offset: np.ndarray, key: np.ndarray, n: int, count: int) -> None:
+        """Point the level above at its children: of each place the last node up to the version."""
+        for side, pointers in enumerate((self.left[-1], self.right[-1])):
+            spot = offset[tree[inner]] + 2 * place[inner] + side
+            at = np.searchsorted(key, spot * n + version[inner], "right") - 1
+            there = (at >= 0) & (key[np.maximum(at, 0)] // n == spot) if len(key) else np.zeros(len(at), bool)
+            pointers[inner] = np.where(there, at + count, 0)
+
+    def find(self, version: np.ndarray, tree: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """The last version that painted each leaf, as of the root of ``version``; -1 if none."""
+        node, best = version + 1, np.full(len(version), -1)
+        for level in range(int(self.depth.max(initial=0)) + 1):
+            best = np.maximum(best, self.mark[node])
+            shift = self.depth[tree] - level - 1
+            right = (leaf >> np.maximum(shift, 0)) & 1 == 1
+            node = np.where(shift < 0, 0, np.where(right, self.right[node], self.left[node]))
+        return best
 
 
 def search(entity: np.ndarray, known: np.ndarray, valid: np.ndarray, v_entity: np.ndarray, v_from: np.ndarray, v_to: np.ndarray, v_recorded: np.ndarray) -> np.ndarray:
@@ -63,7 +96,6 @@ def search(entity: np.ndarray, known: np.ndarray, valid: np.ndarray, v_entity: n
     found = np.full(len(entity), -1)
     if not len(entity) or not len(v_entity):
         return found
-    n = len(v_entity)
     # The valid-time axis of each entity, cut at all ends of its intervals.
     ends_entity, ends_time = np.concatenate([v_entity, v_entity]), np.concatenate([v_from, v_to])
     (end_rank, valid_rank, from_rank, to_rank), size = ranks(ends_time, valid, v_from, v_to)
@@ -76,12 +108,8 @@ def search(entity: np.ndarray, known: np.ndarray, valid: np.ndarray, v_entity: n
     low = np.searchsorted(axis, v_entity * size + from_rank) - first_axis[group]
     high = np.searchsorted(axis, v_entity * size + to_rank) - first_axis[group]
 
-    forest, root, roots = Forest(), 0, np.zeros(n, np.int64)
-    begins, width, paint = set(v_start.tolist()), leaves[group].tolist(), forest.paint
-    for i, (a, b, w) in enumerate(zip(low.tolist(), high.tolist(), width)):
-        root = paint(0 if i in begins else root, 0, w, a, b, i)
-        roots[i] = root
-    left, right, mark = forest.arrays()
+    depth = np.ceil(np.log2(np.maximum(leaves, 1))).astype(np.int64)
+    forest = Forest(group, low, high, depth)
 
     # The root of each event's known time, and its leaf.
     (recorded_rank, known_rank), size_k = ranks(v_recorded, known)
@@ -91,34 +119,89 @@ def search(entity: np.ndarray, known: np.ndarray, valid: np.ndarray, v_entity: n
     leaf = np.searchsorted(axis, entity * size + valid_rank, "right") - 1 - first_axis[g]
     mine &= leaf >= 0
     which = np.flatnonzero(mine)
-    node, lo, hi, leaf = roots[at[which]], np.zeros(len(which), np.int64), leaves[g[which]], leaf[which]
-    best = np.full(len(which), -1)
-    while node.any():
-        best = np.maximum(best, mark[node])
-        middle = (lo + hi) // 2
-        goes_left = leaf < middle
-        node = np.where(goes_left, left[node], right[node])
-        lo, hi = np.where(goes_left, lo, middle), np.where(goes_left, middle, hi)
-    found[which] = best
+    found[which] = forest.find(at[which], g[which], leaf[which])
     return found
 
 
-def _sliced(versions: DataFrame, keys: list[str]) -> DataFrame:
-    """Each version in the slices whose events may need it.
+def _together(left: DataFrame, right: DataFrame, keys: list[str], groups: int, ids: list[str], carry: list[str], schema: T.StructType) -> DataFrame:
+    """Events with their versions within each combination of ``keys``: columns ``ids`` and ``carry``.
+
+    Combinations are spread by hash over ``groups`` groups of one task each.
+    """
+
+    def join(events: pa.Table, versions: pa.Table) -> pa.Table:
+        e, v = events.num_rows, versions.num_rows
+        both = codes(*[pa.chunked_array(events[k].chunks + versions[k].chunks, type=events.schema.field(k).type) for k in keys])
+        order = np.lexsort([codes_of(versions["vid"]), longs(versions["of"]), longs(versions["rec"]), both[e:]])
+        at = search(both[:e], longs(events["known"]), longs(events["valid"]), both[e:][order], longs(versions["vf"])[order], longs(versions["vt"])[order], longs(versions["rec"])[order])
+        hit = np.flatnonzero(at >= 0)
+        picked = events.select(ids).take(pa.array(hit))
+        got = versions.select(carry).take(pa.array(order[at[hit]] if v else hit))
+        return pa.table([*picked.columns, *got.columns], names=schema.names)
+
+    placed = [df.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")).groupBy("shard") for df in (left, right)]
+    return placed[0].cogroup(placed[1]).applyInArrow(join, schema)
+
+
+def _of_hot(left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str], ids: list[str], carry: list[str], slice_rows: int) -> DataFrame:
+    """The join for entities with more rows than one group may have.
 
-    Events of a slice know of nothing recorded after the slice. Versions that begin or end in a
-    slice, or were recorded in it, go there as they are: three copies at most. Of those that cover
-    a slice whole and were recorded before it, every event of the slice knows all, so only the last
-    is ever taken; it is found by an aggregate that shrinks to a row per slice before the shuffle.
+    The valid time of an entity is cut into slices, the leaves of a binary tree. A version goes to
+    the slices its ends lie in, and to the few nodes that together make up the slices between; an
+    event to its slice and to the nodes above it. In a node every version covers every
+    event, so nodes can be cut once more, by the time at which things become known: a part needs its
+    own versions and the last of those known before. All groups stay bounded, a row is copied
+    as often as the tree is high, and of an event's finds the last recorded is the one.
     """
-    placed = versions.withColumn("i", slice_of("vf")).withColumn("r", slice_of("rec")).withColumn("j", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("vt")))))
-    within = F.array_distinct(F.filter(F.array("i", "j", "r"), lambda s: (s >= F.col("i")) & (s <= F.col("j")) & (s >= F.col("r"))))
-    copies = placed.withColumn("slice", F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(within))).drop("i", "j", "r")
-    first = F.greatest("i", "r") + 1
-    rest = [c for c in versions.columns if c not in keys]
-    whole = placed.filter(F.col("cuts").isNotNull() & (first < F.col("j"))).withColumn("slice", F.explode(F.sequence(first, F.col("j") - 1)))
-    last = whole.groupBy(*keys, "slice").agg(F.max_by(F.struct(*rest), F.struct("rec", "vf", "vid")).alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in rest], "slice")
-    return copies.unionByName(last)
+    most, total = hot.agg(F.max("n"), F.sum("n")).first()
+    # Each version counts with both its ends, so a slice holds about slice_rows of either kind.
+    of_valid = left.select(*keys, F.col("valid").alias("t")).unionByName(right.select(*keys, F.explode(F.array("vf", "vt")).alias("t")))
+    of_known = left.select(*keys, F.col("known").alias("t")).unionByName(right.select(*keys, F.col("rec").alias("t")))
+    by_valid = cut_points(of_valid, hot, keys, "t", most=most, slice_rows=slice_rows).withColumnRenamed("cuts", "v_cuts")
+    by_known = cut_points(of_known, hot, keys, "t", most=most, slice_rows=slice_rows).withColumnRenamed("cuts", "k_cuts")
+    cuts = cut(by_valid.join(by_known, keys))
+    finest = max(1, -(-most // slice_rows))
+    height = finest.bit_length()
+    place = lambda c, of: slice_of(F.col(c), F.col(of), finest)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(height))).alias("level")
+    none = F.lit(-1).alias("level")
+
+    # Repeated events are looked up once.
+    counted = left.groupBy(*keys, *ids, "valid", "known").agg(F.count(F.lit(1)).alias("times"))
+    events = counted.join(cuts, keys).withColumn("s", place("valid", "v_cuts")).withColumn("part", place("known", "k_cuts")).drop("v_cuts", "k_cuts")
+    own = events.select("*", none, F.col("s").alias("node")).withColumn("part", F.lit(0))
+    above = events.select("*", levels).withColumn("node", F.expr("shiftright(s, level)"))
+    asked = own.unionByName(above).drop("s")
+
+    # Whole slices are [a, b); a version that begins or ends between cuts is in part in that slice.
+    of_v = lambda c: slice_of(c, F.col("v_cuts"), finest)
+    versions = right.join(cuts, keys).withColumn("i", of_v(F.col("vf"))).withColumn("j", of_v(F.col("vt") - 1)).withColumn("part", place("rec", "k_cuts"))
+    versions = versions.withColumn("a", F.col("i") + F.when(of_v(F.col("vf") - 1) < F.col("i"), 0).otherwise(1)).withColumn("b", F.col("j") + F.when((F.col("vt") == OPEN) | (of_v(F.col("vt")) > F.col("j")), 1).otherwise(0)).drop("v_cuts", "k_cuts")
+    there = lambda c: F.filter(F.array_distinct(c), lambda x: x.isNotNull())
+    ends = versions.select("*", none, F.explode(there(F.array(F.when(F.col("a") > F.col("i"), F.col("i")), F.when(F.col("b") == F.col("j"), F.col("j"))))).alias("node")).withColumn("part", F.lit(0)).drop("i", "j", "a", "b")
+    # The nodes that make up [a, b): on each level at most one at either side.
+    between = versions.filter("a < b").select("*", levels).withColumn("a", F.expr("shiftright(a + shiftleft(1, level) - 1, level)")).withColumn("b", F.expr("shiftright(b, level)"))
+    sides = there(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1)))
+    inner = between.filter("a < b").withColumn("node", F.explode(sides)).withColumn("vf", F.lit(-OPEN)).withColumn("vt", F.lit(OPEN)).drop("i", "j", "a", "b")
+    # Of versions recorded at the same time, in bulk, a node needs the greatest.
+    same = [*keys, "level", "node", "part", "rec"]
+    others = [c for c in inner.columns if c not in same]
+    inner = inner.groupBy(*same).agg(F.max_by(F.struct(*others), F.struct("of", "vid")).alias("v")).select(*same, *[F.col(f"v.{c}").alias(c) for c in others])
+    # The last version known before each part that events ask for.
+    cell = [*keys, "level", "node"]
+    rest = [c for c in inner.columns if c not in cell and c != "part"]
+    last = inner.groupBy(*cell, "part").agg(F.max_by(F.struct(*rest), F.struct("rec", "of", "vid")).alias("v"))
+    wanted = above.select(*cell, "part").distinct().withColumn("asked", F.lit(True))
+    before = F.last("v", ignorenulls=True).over(Window.partitionBy(*cell).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    known = wanted.join(last, [*cell, "part"], "full_outer").withColumn("v", before).filter("asked and v is not null").select(*cell, "part", *[F.col(f"v.{c}").alias(c) for c in rest])
+    given = ends.unionByName(inner).unionByName(known)
+
+    back = [*keys, *ids, "valid", "known", "times"]
+    finds = [*carry, "rec", "of", "vid"]
+    schema = T.StructType([asked.schema[c] for c in back] + [given.schema[c] for c in finds])
+    found = _together(asked, given, [*keys, "level", "node", "part"], -(-total * (height + 2) // slice_rows), back, finds, schema)
+    best = found.groupBy(*back).agg(F.max_by(F.struct(*carry) if carry else F.struct(F.lit(1)), F.struct("rec", "of", "vid")).alias("v"))
+    return best.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(*ids, *[F.col(f"v.{c}").alias(c) for c in carry])
 
 
 def known_as_of(
@@ -147,62 +230,35 @@ def known_as_of(
     once each time an event row occurs. All other columns on either side are ignored, so their
     names can't clash; a ``carry`` column named like an event column comes out as ``version_<name>``.
 
-    Entities are spread over tasks by hash in groups of about ``shard_rows`` events. ``weights``
-    (entity + n) bounds the entities' numbers of events; entities above ``shard_rows`` are split
-    into several groups, each with its own copy of the entity's versions. Without ``weights`` the
-    events are counted, which reads them once more.
-
-    An entity with more than ``shard_rows`` versions is cut into time slices (see
-    :func:`_sliced`) if ``valid_at`` and ``known_at`` are one column; if they differ, all versions
-    of an entity go to each of its groups.
+    Entities are spread over tasks by hash in groups of about ``shard_rows`` events and versions
+    together. Entities that alone have more are cut in both times (see :func:`_of_hot`), so a
+    group is bounded by ``shard_rows`` whatever the skew; only events of one entity at the same
+    microsecond stay together. ``weights`` (entity + n) bounds the
+    entities' numbers of events, ``expected_rows`` their sum; without them the events are counted,
+    which reads them once more.
     """
     if weights is None:
         weights = events.groupBy(*entity).agg(F.count(F.lit(1)).alias("n"))
     if expected_rows is None:
         expected_rows = weights.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-expected_rows // shard_rows))
-    keys = [f"k{i}" for i in range(len(entity))]
+    keys, ids, kept = ([f"{x}{i}" for i in range(len(names))] for x, names in (("k", entity), ("e", event_id), ("c", carry)))
     own = versions.dropna(subset=[*entity, valid_from, recorded_at]).filter(F.col(valid_to).isNull() | (F.col(valid_to) > F.col(valid_from)))
-    own = own.select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.unix_micros(valid_from).alias("vf"), F.coalesce(F.unix_micros(valid_to), F.lit(OPEN)).alias("vt"), F.unix_micros(recorded_at).alias("rec"), F.col(version_id).alias("vid"))
-    busy = weights.filter(F.col("n") > shard_rows).select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], F.col("n").alias("n_events"))
-    if valid_at == known_at:
-        own = cut(own)  # read three times below, and as a rule the outcome of a longer plan
-        # Cut points of the few entities with very many versions; for all others there are none.
-        dense = cut_points(own, keys, "vf", more_than=shard_rows)
-        busy = busy.join(dense, keys, "full_outer")
+    own = own.select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], *[F.col(c).alias(n) for c, n in zip(carry, kept)], F.unix_micros(valid_from).alias("vf"), F.coalesce(F.unix_micros(valid_to), F.lit(OPEN)).alias("vt"), F.unix_micros(recorded_at).alias("rec"), F.col(version_id).alias("vid"))
+    right = cut(own.withColumn("of", F.col("vf")))  # counted, then read, and as a rule the outcome of a longer plan
+    left = events.dropna(subset=[*entity, valid_at, known_at]).select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], *[F.col(c).alias(e) for c, e in zip(event_id, ids)], F.unix_micros(valid_at).alias("valid"), F.unix_micros(known_at).alias("known"))
+    rows = weights.dropna(subset=entity).select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], "n").unionByName(right.select(*keys, F.lit(1).cast("long").alias("n")))
+    hot = cut(rows.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") > shard_rows))
+    fields = [T.StructField(n, left.schema[n].dataType) for n in ids] + [T.StructField(n, right.schema[n].dataType) for n in kept]
+    schema = T.StructType(fields)
+    groups = max(1, -(-(expected_rows + right.count()) // shard_rows))
+    if hot.isEmpty():
+        found = _together(left, right, keys, groups, ids, kept, schema)
     else:
-        busy = busy.withColumn("cuts", F.lit(None).cast("array<bigint>"))
-    slices = F.size(F.coalesce("cuts", F.array().cast("array<bigint>"))) + 1
-    hot = cut(busy.select(*keys, F.greatest(F.lit(1), F.ceil(F.coalesce("n_events", F.lit(0)) / shard_rows / slices)).cast("int").alias("splits"), "cuts"))
-
-    ids = [F.col(c).alias(f"e{i}") for i, c in enumerate(event_id)]
-    splits = F.coalesce("splits", F.lit(1))
-    shard = F.pmod(F.xxhash64(*keys, "slice", "salt"), F.lit(shards)).cast("int").alias("shard")
-    left = (
-        events.dropna(subset=[*entity, valid_at, known_at])
-        .select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], *ids, F.unix_micros(valid_at).alias("valid"), F.unix_micros(known_at).alias("known"))
-        .join(hot, keys, "left")
-        .withColumn("slice", slice_of("valid"))
-        .withColumn("salt", F.pmod(F.xxhash64(*[f"e{i}" for i in range(len(event_id))]), splits).cast("int"))
-        .withColumn("shard", shard)
-        .drop("salt", "slice", "splits", "cuts")
-    )
-    right = _sliced(own.join(hot, keys, "left"), keys).withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1))).withColumn("shard", shard).drop("salt", "slice", "splits", "cuts")
-    fields = [T.StructField(n if n not in event_id else f"version_{n}", versions.schema[n].dataType) for n in carry]
-    schema = T.StructType([T.StructField(n, events.schema[n].dataType) for n in event_id] + fields)
-    names, n_ids, n_carry = schema.names, len(event_id), len(carry)
-
-    def join(events: pa.Table, versions: pa.Table) -> pa.Table:
-        e, v = events.num_rows, versions.num_rows
-        both = codes(*[pa.chunked_array(events[k].chunks + versions[k].chunks, type=events.schema.field(k).type) for k in keys])
-        order = np.lexsort([codes_of(versions["vid"]), longs(versions["vf"]), longs(versions["rec"]), both[e:]])
-        at = search(both[:e], longs(events["known"]), longs(events["valid"]), both[e:][order], longs(versions["vf"])[order], longs(versions["vt"])[order], longs(versions["rec"])[order])
-        hit = np.flatnonzero(at >= 0)
-        picked = events.select([f"e{i}" for i in range(n_ids)]).take(pa.array(hit))
-        got = versions.select([f"c{i}" for i in range(n_carry)]).take(pa.array(order[at[hit]] if v else hit))
-        return pa.table([*picked.columns, *got.columns], names=names)
-
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(join, schema)
+        left = cut(left)  # read several times from here on
+        few = [df.join(hot.select(*keys), keys, "left_anti") for df in (left, right)]
+        many = [df.join(hot.select(*keys), keys, "left_semi") for df in (left, right)]
+        found = _together(*few, keys, groups, ids, kept, schema).unionByName(_of_hot(*many, hot, keys, ids, kept, shard_rows))
+    return found.select(*[F.col(e).alias(n) for e, n in zip(ids, event_id)], *[F.col(c).alias(n if n not in event_id else f"version_{n}") for c, n in zip(kept, carry)])
 
 
 def codes_of(ids: pa.ChunkedArray) -> np.ndarray:
