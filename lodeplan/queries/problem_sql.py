@@ -43,6 +43,34 @@ c AS (
 SELECT ref_field, child_key, ref_key, reason, strftime(arrived AT TIME ZONE 'UTC', '%Y-%m') AS period
 FROM (SELECT * FROM o UNION ALL SELECT * FROM i UNION ALL SELECT * FROM c) WHERE reason IS NOT NULL"""
 
+_P2_COUNTS = f"""
+WITH {_SNAPS},
+span AS (SELECT epoch_us(min(ingested_at)) AS low, epoch_us(max(ingested_at)) AS high FROM commerce_orders),
+cuts AS (
+  SELECT i, CASE WHEN i < 4 THEN low + (high - low) * i // 4 - (low + (high - low) * i // 4) % 3600000000 END AS cut, high FROM span, (SELECT unnest(range(1, 5)) AS i)),
+known AS (
+  SELECT i, coalesce(cut, high) AS as_of_us, tenant_id, order_id, min(ingested_at) AS first_at, arg_max(op, (ingested_at, row_id)) AS op, arg_max(struct_pack(c := customer_id), (ingested_at, row_id)).c AS customer_id
+  FROM commerce_orders JOIN cuts ON cut IS NULL OR epoch_us(ingested_at) < cut WHERE tenant_id IS NOT NULL AND order_id IS NOT NULL GROUP BY ALL),
+customers AS (
+  SELECT i, tenant_id, customer_id, min(recorded_at) AS first_at FROM commerce_customer_history JOIN cuts ON cut IS NULL OR epoch_us(recorded_at) < cut GROUP BY ALL),
+o AS (
+  SELECT as_of_us, 'commerce_orders.customer_id' AS ref_field, k.first_at AS arrived, CASE WHEN c.first_at IS NULL THEN 'missing' WHEN c.first_at > k.first_at THEN 'late' END AS reason
+  FROM known k LEFT JOIN customers c USING (i, tenant_id, customer_id) WHERE k.op IS DISTINCT FROM 'delete' AND k.customer_id IS NOT NULL),
+lines AS (
+  SELECT i, coalesce(cut, high) AS as_of_us, tenant_id, order_id, line_number, min(ingested_at) AS arrived
+  FROM commerce_order_items JOIN cuts ON cut IS NULL OR epoch_us(ingested_at) < cut WHERE tenant_id IS NOT NULL AND order_id IS NOT NULL GROUP BY ALL),
+l AS (
+  SELECT l.as_of_us, 'commerce_order_items.order_id' AS ref_field, arrived, CASE WHEN k.first_at IS NULL THEN 'missing' WHEN k.op = 'delete' THEN 'deleted' WHEN k.first_at > l.arrived THEN 'late' END AS reason
+  FROM lines l LEFT JOIN known k USING (i, tenant_id, order_id)),
+{_P2[_P2.index("refs AS ("):_P2.index("span AS (SELECT ref_field")]}
+c AS (
+  SELECT epoch_us(n.published_at) AS as_of_us, r.ref_field, s.published_at AS arrived,
+         CASE WHEN min(h.ord) IS NULL THEN 'missing' WHEN min(h.ord) < s.ord THEN 'deleted' ELSE 'late' END AS reason
+  FROM refs r JOIN snaps s USING (snapshot_id) JOIN snaps n ON n.ord >= s.ord LEFT JOIN held h ON h.ref_field = r.ref_field AND h.ref_key = r.ref_key AND h.ord <= n.ord
+  WHERE r.ref_key <> '' GROUP BY r.ref_field, r.child_key, r.ref_key, n.ord, n.published_at, s.ord, s.published_at HAVING count(*) FILTER (h.ord = s.ord) = 0)
+SELECT as_of_us, ref_field, strftime(arrived AT TIME ZONE 'UTC', '%Y-%m') AS period, reason, count(*) AS n
+FROM (SELECT * FROM o UNION ALL SELECT * FROM l UNION ALL SELECT as_of_us, ref_field, arrived, reason FROM c) WHERE reason IS NOT NULL GROUP BY ALL"""
+
 _CHANGES = f"""
 WITH {_SNAPS},
 all_rows AS (
@@ -158,6 +186,7 @@ judged AS (
   SELECT as_of_us, strftime(arrived AT TIME ZONE 'UTC', '%Y-%m') AS period, CASE WHEN k.first_at IS NULL THEN 'missing' WHEN k.op = 'delete' THEN 'deleted' WHEN k.first_at > l.arrived THEN 'late' END AS reason
   FROM lines l LEFT JOIN known k USING (i, tenant_id, order_id))
 SELECT as_of_us, period, reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY ALL""",
+    "p2_counts_by_field": _P2_COUNTS,
     "p3_found": _CHANGES + " SELECT object_type, snapshot_id, id, change FROM found",
     "p3_summary": _CHANGES + " SELECT object_type, snapshot_id, change, count(*) AS n FROM found GROUP BY ALL",
     "p4_found": _KNOWN

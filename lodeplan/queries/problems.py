@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeplan.functions.keys import digest_text, folded
@@ -13,10 +14,12 @@ from lodeplan.operators.asof import known_as_of, usable
 from lodeplan.operators.history import build_ledger, history
 from lodeplan.operators.intervals import interval_runs
 from lodeplan.operators.nested import flatten_json
-from lodeplan.operators.orphans import OrphanTracker, current_references, key_index, merge_index, snapshot_orphans
+from lodeplan.operators.orphans import OrphanTracker, current_references, key_index
 from lodeplan.operators.snapshots import diff_snapshots, snapshot_order
 from lodeplan.sources.tables import cut, table
 
+HOUR_US = 3_600_000_000
+OF_ORDERS, OF_ITEMS, OF_COLUMNS, OF_METRICS = "commerce_orders.customer_id", "commerce_order_items.order_id", "catalog_columns.table_id", "catalog_metrics.dependency_refs"
 SINGLES, EMBEDDED = ["predicates", "args", "members"], ["predicate"]
 NESTED = {"rule": ("catalog_rules", ["activation", "effect"]), "metric": ("catalog_metrics", ["expression", "population"]), "relationship": ("catalog_relationships", ["predicates"])}
 
@@ -46,57 +49,81 @@ def p1_column_references(spark: SparkSession, folder: str) -> DataFrame:
     return values.groupBy("object_type", column.alias("column_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("n_records"))
 
 
-def _commerce_states(spark: SparkSession, folder: str, increments: int) -> tuple[OrphanTracker, OrphanTracker, list[DataFrame]]:
-    """The orphan state of the commerce tables after ``increments`` batches by time of ingestion."""
+def _counted(report: DataFrame, as_of: int | None, field: Column) -> DataFrame:
+    """(as_of_us, ref_field, period, reason, n) of a state, stored: the next batches take its place."""
+    return cut(report.groupBy(F.lit(as_of).cast("long").alias("as_of_us"), field.alias("ref_field"), utc_month(F.col("at")).alias("period"), "reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _commerce_states(spark: SparkSession, folder: str, increments: int, counted: bool = False) -> tuple[OrphanTracker, OrphanTracker, list[DataFrame]]:
+    """The orphan states of orders and order lines after ``increments`` batches by time of ingestion, and
+    if asked for the counts after each batch."""
     orders = table(spark, folder, "commerce_orders", "row_id", "tenant_id", "order_id", "customer_id", "op", "ingested_at")
     items = table(spark, folder, "commerce_order_items", "tenant_id", "order_id", "line_number", F.col("ingested_at").alias("at"))
     customers = table(spark, folder, "commerce_customer_history", "tenant_id", "customer_id", "version_id", "recorded_at")
-    low, high = orders.agg(F.min("ingested_at"), F.max("ingested_at")).first()
-    cuts = [(low + (high - low) * i / increments).replace(minute=0, second=0, microsecond=0) for i in range(1, increments)] if low else []
+    low, high = orders.agg(F.unix_micros(F.min("ingested_at")), F.unix_micros(F.max("ingested_at"))).first()
+    cuts = [low + (high - low) * i // increments for i in range(1, increments)] if low is not None else []
+    cuts = [c - c % HOUR_US for c in cuts]
 
     def batch(df: DataFrame, at: str, i: int) -> DataFrame:
         """Rows of batch i; those without a time belong to the first."""
         if i > 0:
-            df = df.filter(F.col(at) >= F.lit(cuts[i - 1]))
+            df = df.filter(F.col(at) >= F.timestamp_micros(F.lit(cuts[i - 1])))
         if i == len(cuts):
             return df
-        within = F.col(at) < F.lit(cuts[i])
+        within = F.col(at) < F.timestamp_micros(F.lit(cuts[i]))
         return df.filter(within | F.col(at).isNull() if i == 0 else within)
 
-    lines = OrphanTracker(["tenant_id", "order_id"], ["tenant_id", "order_id", "line_number"])
-    index, known, counts = None, None, []
+    order = ["tenant_id", "order_id"]
+    lines = OrphanTracker(order, [*order, "line_number"])
+    owners = OrphanTracker(["tenant_id", "customer_id"], order, settles=False)  # histories of customers only grow
+    states = []
     for i in range(len(cuts) + 1):
-        arrived = key_index(batch(orders, "ingested_at", i), key=["tenant_id", "order_id"], at="ingested_at", row="row_id", gone=F.col("op") == "delete", carry=["customer_id"])
         last = i == len(cuts)
-        lines = lines.advance(batch(items, "at", i), arrived, keep=not last)
-        index = lines.parents
+        arrived = key_index(batch(orders, "ingested_at", i), key=order, at="ingested_at", row="row_id", gone=F.col("op") == "delete", carry=["customer_id"])
+        lines = lines.advance(batch(items, "at", i), arrived, last=last)
+        # An order's customer is stated by its current row: orders delivered in this batch state theirs anew.
+        current = lines.index(spark)
+        delivered = lines.delivered(spark)
+        if i > 0:
+            current = current.join(delivered, order, "left_semi")
         recorded = key_index(batch(customers, "recorded_at", i), key=["tenant_id", "customer_id"], at="recorded_at", row="version_id")
-        known = merge_index(known, recorded, ["tenant_id", "customer_id"])
-        if not last:
-            known = cut(known)
-            counts.append(lines.snapshot_counts(F.unix_micros(F.lit(cuts[i]))))
-    # An order's customer is stated by its current row, so these references are probed from the index.
-    owners = OrphanTracker(["tenant_id", "customer_id"], ["tenant_id", "order_id"])
-    owners = owners.advance(current_references(index, child=["tenant_id", "order_id"], carry="customer_id", key="customer_id"), known, keep=False)
-    return owners, lines, [*counts, lines.snapshot_counts(F.unix_micros(F.lit(high).cast("timestamp")))]
-
-
-def _catalog_references(spark: SparkSession, folder: str) -> DataFrame:
-    """Dangling references of the catalog's approved snapshots, with the month of the snapshot."""
+        owners = owners.advance(current_references(current, child=order, carry="customer_id", key="customer_id"), recorded, withdrawn=delivered, last=last)
+        if counted:
+            states += [_counted(t.report(), high if last else cuts[i], F.lit(f)) for f, t in ((OF_ORDERS, owners), (OF_ITEMS, lines))]
+    return owners, lines, states
+
+
+def _catalog_states(spark: SparkSession, folder: str, counted: bool = False) -> tuple[OrphanTracker, DataFrame, list[DataFrame]]:
+    """The orphan state of the catalog after all approved snapshots, which are its batches; their order;
+    and if asked for the counts after each."""
     order = snapshot_order(table(spark, folder, "catalog_snapshots"))
-    at = order.select("snapshot_id", "ord", utc_month(F.col("published_at")).alias("period"))
     clean = lambda c: F.nullif(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit(""))
-    tables = table(spark, folder, "catalog_tables", "snapshot_id", "id", "version").join(at, "snapshot_id")
-    columns = table(spark, folder, "catalog_columns", "snapshot_id", "id", "table_id").join(at, "snapshot_id")
-    metrics = table(spark, folder, "catalog_metrics", "snapshot_id", "id", "version", "dependency_refs").join(at, "snapshot_id")
-    edges = table(spark, folder, "catalog_relationships", "snapshot_id", "id", "version").join(at, "snapshot_id")
-    pinned = F.concat("id", F.lit("@"), F.col("version").cast("string")).alias("ref_key")
-    of_columns = columns.select(F.lit("catalog_columns.table_id").alias("ref_field"), F.concat_ws("|", "snapshot_id", "id").alias("child_key"), clean("table_id").alias("ref_key"), "period", "ord")
-    of_metrics = metrics.select(F.concat_ws("|", "snapshot_id", F.concat("id", F.lit("@"), F.col("version").cast("string"))).alias("child_key"), F.explode("dependency_refs").alias("ref"), "period", "ord")
-    of_metrics = of_metrics.select(F.lit("catalog_metrics.dependency_refs").alias("ref_field"), "child_key", clean("ref").alias("ref_key"), "period", "ord")
-    known = tables.select(pinned, "ord").unionByName(edges.select(pinned, "ord")).unionByName(metrics.select(pinned, "ord"))
-    found = snapshot_orphans(of_columns, tables.select(F.col("id").alias("ref_key"), "ord")).unionByName(snapshot_orphans(of_metrics, known))
-    return found.select("ref_field", "child_key", "ref_key", "reason", "period")
+    tables, columns, metrics, edges = (
+        table(spark, folder, f"catalog_{name}", "snapshot_id", "id", *more)
+        for name, more in (("tables", ["version"]), ("columns", ["table_id"]), ("metrics", ["version", "dependency_refs"]), ("relationships", ["version"]))
+    )
+    pinned = F.concat("id", F.lit("@"), F.col("version").cast("string"))
+    field = lambda name: F.lit(name).alias("ref_field")
+    children = F.concat_ws("|", "snapshot_id", pinned).alias("child_key")
+    of_columns = columns.select("snapshot_id", field(OF_COLUMNS), F.concat_ws("|", "snapshot_id", "id").alias("child_key"), clean("table_id").alias("ref_key"))
+    of_metrics = metrics.select("snapshot_id", field(OF_METRICS), children, F.explode("dependency_refs").alias("ref")).select("snapshot_id", "ref_field", "child_key", clean("ref").alias("ref_key"))
+    held = [tables.select("snapshot_id", field(OF_COLUMNS), F.col("id").alias("ref_key"))] + [df.select("snapshot_id", field(OF_METRICS), pinned.alias("ref_key")) for df in (tables, edges, metrics)]
+    known = reduce(DataFrame.unionByName, held)
+    references = of_columns.unionByName(of_metrics)
+    state = OrphanTracker(["ref_field", "ref_key"], ["ref_field", "child_key"], pinned=True, settles=False)
+    states = []
+    # The list of snapshots is short by nature, one row per publication.
+    for name, at, ord in order.select("snapshot_id", F.unix_micros("published_at"), "ord").orderBy("ord").collect():
+        mine = lambda df: df.filter(F.col("snapshot_id") == name).withColumn("at", F.lit(ord))  # noqa: B023, E731
+        state = state.advance(mine(references), key_index(mine(known), key=["ref_field", "ref_key"], at="at", row="at"), now=ord)
+        if counted:
+            states.append(_counted(_dated(state, order), at, F.col("ref_field")))
+    return state, order, states
+
+
+def _dated(state: OrphanTracker, order: DataFrame) -> DataFrame:
+    """The report of a catalog state with the time of each reference's snapshot."""
+    return state.report().withColumnRenamed("at", "ord").join(order.select("ord", F.col("published_at").alias("at")), "ord")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,18 +131,25 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     owners, lines, _ = _commerce_states(spark, folder, increments=2)
     month = utc_month(F.col("at")).alias("period")
     text = lambda *c: F.concat_ws("|", *[F.col(x).cast("string") for x in c])
-    of_orders = owners.report().select(F.lit("commerce_orders.customer_id").alias("ref_field"), text("tenant_id", "order_id").alias("child_key"), text("customer_id").alias("ref_key"), "reason", month)
-    of_items = lines.report().select(F.lit("commerce_order_items.order_id").alias("ref_field"), text("tenant_id", "order_id", "line_number").alias("child_key"), text("order_id").alias("ref_key"), "reason", month)
-    return of_orders.unionByName(of_items).unionByName(_catalog_references(spark, folder))
+    of_orders = owners.report().select(F.lit(OF_ORDERS).alias("ref_field"), text("tenant_id", "order_id").alias("child_key"), text("customer_id").alias("ref_key"), "reason", month)
+    of_items = lines.report().select(F.lit(OF_ITEMS).alias("ref_field"), text("tenant_id", "order_id", "line_number").alias("child_key"), text("order_id").alias("ref_key"), "reason", month)
+    found = of_orders.unionByName(of_items)
+    catalog, order, _ = _catalog_states(spark, folder)
+    return found if catalog.batch < 0 else found.unionByName(_dated(catalog, order).select("ref_field", "child_key", "ref_key", "reason", month))
+
+
+def p2_counts_by_field(spark: SparkSession, folder: str) -> DataFrame:
+    """Dangling references as counted after each batch, by field and month: four batches of commerce
+    by time of ingestion, and every approved snapshot of the catalog."""
+    _, _, commerce = _commerce_states(spark, folder, increments=4, counted=True)
+    _, _, catalog = _catalog_states(spark, folder, counted=True)
+    return reduce(DataFrame.unionByName, [*commerce, *catalog])
 
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Pending order lines as counted after each of four batches: resolved and reopened over time."""
-    _, _, counts = _commerce_states(spark, folder, increments=4)
-    out = counts[0]
-    for other in counts[1:]:
-        out = out.unionByName(other)
-    return out.withColumnRenamed("as_of", "as_of_us")
+    _, _, commerce = _commerce_states(spark, folder, increments=4, counted=True)
+    return reduce(DataFrame.unionByName, commerce).filter(F.col("ref_field") == OF_ITEMS).drop("ref_field")
 
 
 def _changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,4 +243,4 @@ def p6_superseded(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("recorded_to_us").alias("n_superseded"), F.count_distinct("customer_id").alias("n_customers"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_column_references, p2_found, p2_counts, p3_found, p3_summary, p4_found, p4_regions, p5_found, p5_periods, p6_found, p6_believed, p6_superseded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_column_references, p2_found, p2_counts, p2_counts_by_field, p3_found, p3_summary, p4_found, p4_regions, p5_found, p5_periods, p6_found, p6_believed, p6_superseded)}

@@ -1,8 +1,8 @@
 """Orphan references over a stream of deliveries, exactly once per micro-batch.
 
 The state (see :class:`~lodeplan.operators.orphans.OrphanTracker`) is kept as Parquet in a shared
-folder, one version per micro-batch. A batch that is repeated after a failure starts from the
-version before it and writes the same version again, so counts never double.
+folder; a micro-batch adds its own parts to it. A batch that is repeated after a failure starts from
+the state before it and writes the same parts again, so counts never double.
 """
 
 from __future__ import annotations
@@ -23,31 +23,23 @@ class OrphanStream:
     ``folder`` must be one that all executors share and survive the query.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, *, key: list[str], child: list[str], at: str, row: str, is_parent: Column, gone: Column) -> None:
-        self.spark, self.folder, self.key, self.child = spark, folder, key, child
+    def __init__(self, spark: SparkSession, folder: str, *, key: list[str], child: list[str], at: str, row: str, is_parent: Column, gone: Column, buckets: int = 16) -> None:
+        self.spark, self.folder, self.key, self.child, self.buckets = spark, folder, key, child, buckets
+        self.schema = self.index_schema = None
         self.at, self.row, self.is_parent, self.gone = at, row, is_parent, gone
 
-    def _path(self, batch: int, part: str) -> str:
-        return f"{self.folder}/state/{batch}/{part}"
-
     def state(self, batch: int) -> OrphanTracker:
         """The state after a batch; before the first there is none."""
-        tracker = OrphanTracker(self.key, self.child)
-        if batch >= 0:
-            tracker.references = self.spark.read.parquet(self._path(batch, "references"))
-            tracker.parents = self.spark.read.parquet(self._path(batch, "parents"))
-        return tracker
+        return OrphanTracker(self.key, self.child, buckets=self.buckets, folder=f"{self.folder}/state", batch=batch, schema=self.schema, index_schema=self.index_schema)
 
     def process(self, rows: DataFrame, batch: int) -> None:
         """Advance the state by one micro-batch and add its counts to ``counts``."""
         rows = rows.withColumn("_parent", F.coalesce(self.is_parent, F.lit(False)))
         arrived = key_index(rows.filter("_parent"), key=self.key, at=self.at, row=self.row, gone=self.gone)
         references = rows.filter("not _parent").withColumnRenamed(self.at, "at") if self.at != "at" else rows.filter("not _parent")
-        new = self.state(batch - 1).advance(references, arrived, keep=False)
-        new.parents.write.mode("overwrite").parquet(self._path(batch, "parents"))
-        new.references.write.mode("overwrite").parquet(self._path(batch, "references"))
-        counts = self.state(batch).snapshot_counts(F.lit(batch))
-        counts.drop("as_of").write.mode("overwrite").parquet(f"{self.folder}/counts/batch={batch}")
+        new = self.state(batch - 1).advance(references, arrived)
+        self.schema, self.index_schema = new.schema, new.index_schema
+        new.snapshot_counts(F.lit(batch)).drop("as_of").write.mode("overwrite").parquet(f"{self.folder}/counts/batch={batch}")
 
     def start(self, stream: DataFrame, **trigger: object) -> StreamingQuery:
         """Run on a streaming DataFrame; ``trigger`` as for ``DataStreamWriter.trigger``."""
