@@ -92,6 +92,7 @@ class OrphanTracker:
     batch: int = -1
     schema: T.StructType | None = None
     index_schema: T.StructType | None = None
+    spark: SparkSession | None = None
 
     def _columns(self) -> list[str]:
         return [*self.child, *[k for k in self.key if k not in self.child]]
@@ -143,7 +144,7 @@ class OrphanTracker:
         """
         spark, columns, batch = references.sparkSession, self._columns(), self.batch + 1
         fresh = references.dropna(subset=self.key).select(*columns, "at", F.lit(None).cast("string").alias("reason"))
-        new = replace(self, folder=self.folder or scratch(spark, "orphans"), batch=batch, schema=fresh.schema, index_schema=arrived.schema)
+        new = replace(self, folder=self.folder or scratch(spark, "orphans"), batch=batch, schema=fresh.schema, index_schema=arrived.schema, spark=spark)
         write = lambda df, part: df.write.mode("overwrite").partitionBy(*[p for p in ("dangling", "bucket") if p in df.columns]).parquet(f"{new.folder}/{part}")
         write(arrived.withColumn("bucket", self._bucket()), f"parents/batch={batch}")
         if (batch + 1) % COMPACT == 0:
@@ -198,11 +199,10 @@ class OrphanTracker:
         """The parent keys that the last batch delivered."""
         return self._own(self, spark).select(*self.key)
 
-    def report(self, spark: SparkSession | None = None) -> DataFrame:
+    def report(self) -> DataFrame:
         """child + key + (at, reason): one row per dangling child and key; ``at`` is its arrival, null only if no time is known."""
         columns = self._columns()
-        rows = self.waiting(spark or SparkSession.active())
-        return rows.groupBy(*columns).agg(F.min(F.struct(F.col("at").isNull().alias("untimed"), "at", "reason")).alias("x")).select(*columns, "x.at", "x.reason")
+        return self.waiting(self.spark).groupBy(*columns).agg(F.min(F.struct(F.col("at").isNull().alias("untimed"), "at", "reason")).alias("x")).select(*columns, "x.at", "x.reason")
 
     def snapshot_counts(self, as_of: Column) -> DataFrame:
         """(as_of, period, reason, n): the dangling references of the state, by month of arrival."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -121,6 +122,13 @@ def _catalog_states(spark: SparkSession, folder: str, counted: bool = False) ->
     return state, order, states
 
 
+def _both_states(spark: SparkSession, folder: str, increments: int, counted: bool = False) -> tuple[tuple, tuple]:
+    """The states of commerce and catalog, whose jobs don't wait for one another."""
+    with ThreadPoolExecutor(2) as pool:
+        commerce, catalog = pool.submit(_commerce_states, spark, folder, increments, counted), pool.submit(_catalog_states, spark, folder, counted)
+        return commerce.result(), catalog.result()
+
+
 def _dated(state: OrphanTracker, order: DataFrame) -> DataFrame:
     """The report of a catalog state with the time of each reference's snapshot."""
     return state.report().withColumnRenamed("at", "ord").join(order.select("ord", F.col("published_at").alias("at")), "ord")
@@ -128,21 +136,19 @@ def _dated(state: OrphanTracker, order: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Dangling references of commerce and catalog, by field and month."""
-    owners, lines, _ = _commerce_states(spark, folder, increments=2)
+    (owners, lines, _), (catalog, order, _) = _both_states(spark, folder, increments=2)
     month = utc_month(F.col("at")).alias("period")
     text = lambda *c: F.concat_ws("|", *[F.col(x).cast("string") for x in c])
     of_orders = owners.report().select(F.lit(OF_ORDERS).alias("ref_field"), text("tenant_id", "order_id").alias("child_key"), text("customer_id").alias("ref_key"), "reason", month)
     of_items = lines.report().select(F.lit(OF_ITEMS).alias("ref_field"), text("tenant_id", "order_id", "line_number").alias("child_key"), text("order_id").alias("ref_key"), "reason", month)
     found = of_orders.unionByName(of_items)
-    catalog, order, _ = _catalog_states(spark, folder)
     return found if catalog.batch < 0 else found.unionByName(_dated(catalog, order).select("ref_field", "child_key", "ref_key", "reason", month))
 
 
 def p2_counts_by_field(spark: SparkSession, folder: str) -> DataFrame:
     """Dangling references as counted after each batch, by field and month: four batches of commerce
     by time of ingestion, and every approved snapshot of the catalog."""
-    _, _, commerce = _commerce_states(spark, folder, increments=4, counted=True)
-    _, _, catalog = _catalog_states(spark, folder, counted=True)
+    (_, _, commerce), (_, _, catalog) = _both_states(spark, folder, increments=4, counted=True)
     return reduce(DataFrame.unionByName, [*commerce, *catalog])
 
 

@@ -30,7 +30,7 @@ class OrphanStream:
 
     def state(self, batch: int) -> OrphanTracker:
         """The state after a batch; before the first there is none."""
-        return OrphanTracker(self.key, self.child, buckets=self.buckets, folder=f"{self.folder}/state", batch=batch, schema=self.schema, index_schema=self.index_schema)
+        return OrphanTracker(self.key, self.child, buckets=self.buckets, folder=f"{self.folder}/state", batch=batch, schema=self.schema, index_schema=self.index_schema, spark=self.spark)
 
     def process(self, rows: DataFrame, batch: int) -> None:
         """Advance the state by one micro-batch and add its counts to ``counts``."""
