@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplan.llm.mixing import mix_sources
+from lodeplan.llm.mixing import mix_blocks, mix_sources
 from lodeplan.llm.packing import fill_containers
 from lodeplan.llm.splitting import split_documents
 from lodeplan.llm.tokens import measured
@@ -37,9 +37,12 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return cut(measured(table(spark, folder, "documents", "doc_id", "source", "text"), doc_id="doc_id", text="text", keep=["source"]))
+
+
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    sizes = cut(measured(table(spark, folder, "documents", "doc_id", "source", "text"), doc_id="doc_id", text="text", keep=["source"]))
-    return mix_sources(sizes, table(spark, folder, "mix_targets"))
+    return mix_sources(_sizes(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,6 +55,23 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def p8_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source's target in tokens, and whether it can be met."""
+    return _mix(spark, folder)[1].select("mix_id", "source", F.round("target_tokens", 3).alias("target_tokens"), "short")
+
+
+def p8_block_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The interleaved mixes: tokens and documents of each slot."""
+    blocks = mix_blocks(_sizes(spark, folder), table(spark, folder, "mix_targets"))
+    return blocks.groupBy("mix_id", "slot", "source").agg(F.sum("part_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_parts"))
+
+
+def p8_within_a_block(spark: SparkSession, folder: str) -> DataFrame:
+    """Mixes all of whose sources fill their shares, and whether none is ever a block away from its own."""
+    shares = _mix(spark, folder)[1].groupBy("mix_id").agg(F.max("short").alias("any_short"), F.max("max_deviation_blocks").alias("most"))
+    return shares.filter("not any_short").select("mix_id", (F.coalesce("most", F.lit(0.0)) < 1).alias("within"))
+
+
 def p8_drawn(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of each mix with their slots."""
     return _mix(spark, folder)[0]
@@ -77,4 +97,4 @@ def p9_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.groupBy("begins_at").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
 
 
-QUERIES = {f.__name__: f for f in (p7_containers, p7_fill, p8_found, p8_shares, p8_drawn, p9_found, p9_pieces, p9_boundaries)}
+QUERIES = {f.__name__: f for f in (p7_containers, p7_fill, p8_found, p8_shares, p8_targets, p8_within_a_block, p8_block_tokens, p8_drawn, p9_found, p9_pieces, p9_boundaries)}
