@@ -1,13 +1,14 @@
 """Filling fixed-capacity containers with items.
 
-Exact-complement hashing: the available lengths are indexed by their counts, and a gap is looked
-up as a single length, as a sum of two and as a sum of three. A combination that fills the gap
+Exact-complement hashing: the sums of one, two and three available lengths are indexed, and a gap is
+looked up as a single length, as a pair and as a triple. A combination that fills the gap
 exactly is consumed as often as the counts allow. What has no exact complement goes best-fit, the
 longest first, into the containers with the least room that still suffices.
 
-Items are spread over task groups by a hash of their id; each group is packed on its own. With
+Items are spread over task groups by a hash of their id, and each group is packed on its own. With
 ``group_rows`` items a group has far more items than lengths, so almost all gaps find an exact
-complement, and at most the last container of a group is left half empty for want of others.
+complement. The items of the containers that a group couldn't fill are packed once more, together
+with those of the other groups.
 """
 
 from __future__ import annotations
@@ -22,45 +23,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeplan.llm.tokens import TOKENIZER, encoder, token_bytes
-from lodeplan.sources.tables import spread
+from lodeplan.sources.tables import cut, spread
 
 #: Items packed together in one task group.
 GROUP_ROWS = 50_000
 
 
 class Complements:
-    """Counts of the available lengths, searchable by the sum of one, two or three of them."""
+    """Counts of the available lengths, indexed by the sums of one, two and three of them.
+
+    Pairs lie in buckets by their sum, those of frequent lengths first. Counts only fall, so what was
+    used up is passed over once and never looked at again: ``pair_at`` and ``one_at`` remember for
+    each sum how far it is used up.
+    """
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.left = counts.copy()
-        self.left[0] = 0
-        self.pairs: dict[int, tuple[int, int]] = {}
-        self.no_pair: set[int] = set()  # sums without a pair stay without one: counts only fall
+        self.left = [0, *counts[1:].tolist()]
+        lengths = np.flatnonzero(self.left)
+        small, large = (lengths[i] for i in np.triu_indices(len(lengths)))
+        fits = small + large < len(counts)
+        small, large = small[fits], large[fits]
+        often = np.minimum(counts[small], counts[large]) // np.where(small == large, 2, 1)
+        order = np.lexsort([-often, small + large])
+        edges = np.searchsorted((small + large)[order], np.arange(len(counts) + 1))
+        self.small, self.large = small[order].tolist(), large[order].tolist()
+        self.pair_at, self.pair_end = edges[:-1].tolist(), edges[1:].tolist()
+        # The third length of a triple: any that is available, the longest first.
+        self.lengths = lengths[::-1].tolist()
+        self.one_at = [0] * len(counts)
 
     def has(self, lengths: tuple[int, ...]) -> bool:
         return all(self.left[n] >= lengths.count(n) for n in set(lengths))
 
     def pair(self, total: int) -> tuple[int, int] | None:
-        if total < 2 or total in self.no_pair:
-            return None
-        known = self.pairs.get(total)
-        if known and self.has(known):
-            return known
-        small = np.arange(1, total // 2 + 1)
-        room = np.minimum(self.left[small], self.left[total - small])
-        if total % 2 == 0:
-            room[-1] = self.left[total // 2] // 2
-        best = int(room.argmax())
-        if room[best] < 1:
-            self.no_pair.add(total)
-            return None
-        self.pairs[total] = (total - int(small[best]), int(small[best]))
-        return self.pairs[total]
+        left, end = self.left, self.pair_end[total]
+        for at in range(self.pair_at[total], end):
+            large, small = self.large[at], self.small[at]
+            if left[large] and left[small] and (large != small or left[small] > 1):
+                self.pair_at[total] = at
+                return large, small
+        self.pair_at[total] = end
+        return None
 
     def triple(self, total: int) -> tuple[int, int, int] | None:
-        longest = np.flatnonzero(self.left[1 : max(1, total - 1)]) + 1
-        for one in longest[::-1].tolist():
-            two = self.pair(total - one)
+        lengths, at = self.lengths, self.one_at[total]
+        while at < len(lengths) and (lengths[at] > total - 2 or not self.left[lengths[at]] or not self.pair(total - lengths[at])):
+            at += 1
+        self.one_at[total] = at
+        for one in lengths[at:]:
+            two = self.pair(total - one) if self.left[one] else None
             if two and self.has((one, *two)):
                 return (one, *two)
         return None
@@ -173,13 +184,24 @@ def fill_containers(documents: DataFrame, *, doc_id: str, text: str, capacity: i
     more tokens than a container is cut, into full containers and a rest, always between two
     characters; its tokens are those of the whole text, cut apart. Null and empty texts are items
     of size 0 and come out too. Repeated rows are items of their own. Other columns are ignored.
+    Groups have about ``group_rows`` documents each.
     """
     if capacity < 1:
         raise ValueError("a container holds one token at least")
     groups = max(1, -(-documents.count() // group_rows))
-    ready = items(documents, doc_id=doc_id, text=text, capacity=capacity, tokenizer=tokenizer)
-    spread = ready.withColumn("grp", F.pmod(F.xxhash64(doc_id, "piece_no"), F.lit(groups)).cast("int"))
-    schema = T.StructType([T.StructField("container_id", T.LongType()), *ready.schema.fields])
+    packed = _packed(items(documents, doc_id=doc_id, text=text, capacity=capacity, tokenizer=tokenizer), doc_id, capacity, groups, 0)
+    if groups > 1:
+        # What the groups couldn't fill is little, and packed in as many groups as that takes.
+        packed = cut(packed)
+        rest = packed.filter("not full").drop("container_id", "full")
+        packed = packed.filter("full").unionByName(_packed(rest, doc_id, capacity, max(1, -(-rest.count() // group_rows)), groups))
+    return packed.drop("full")
+
+
+def _packed(ready: DataFrame, doc_id: str, capacity: int, groups: int, first: int) -> DataFrame:
+    """Items in containers, packed by hash groups that are numbered from ``first``; ``full`` if nothing of a container is unused."""
+    spread = ready.withColumn("grp", F.pmod(F.xxhash64(doc_id, "piece_no", F.lit(first)), F.lit(groups)).cast("int"))
+    schema = T.StructType([T.StructField("container_id", T.LongType()), *ready.schema.fields, T.StructField("full", T.BooleanType())])
 
     def work(table: pa.Table) -> pa.Table:
         # By size, then id: the same containers whenever and wherever the group is packed.
@@ -188,7 +210,8 @@ def fill_containers(documents: DataFrame, *, doc_id: str, text: str, capacity: i
         over = sizes > capacity  # only a single character of more tokens than a container
         container = np.concatenate([pack(sizes[~over], capacity), np.zeros(0, np.int64)])
         container = np.append(container, np.arange(over.sum()) + (container.max(initial=-1) + 1))
-        base = int(pc.min(table["grp"]).as_py()) << 32
-        return pa.table([pa.array(base + container), *[table[n] for n in schema.names[1:]]], names=schema.names)
+        full = np.bincount(container, weights=sizes)[container] >= capacity
+        base = (first + int(pc.min(table["grp"]).as_py())) << 32
+        return pa.table([pa.array(base + container), *[table[n] for n in schema.names[1:-1]], pa.array(full)], names=schema.names)
 
     return spread.groupBy("grp").applyInArrow(work, schema)
