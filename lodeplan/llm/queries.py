@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeplan.llm.mixing import mix_blocks, mix_sources
@@ -90,6 +90,24 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.filter("n_pieces > 1 and piece_no = 0").select("doc_id")
 
 
+def p9_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the characters its pieces cover, and how many pieces are too large or overlap by
+    another number of tokens than asked for, counted anew from the pieces' texts."""
+    limit, overlap = limit_of(spark, folder, "piece")
+    size = lambda text: F.coalesce(F.regexp_count(text, F.lit(r"\p{Punct}|[^\p{Punct}\s]+")), F.lit(0))
+    pieces = p9_pieces(spark, folder).withColumn("n", size(F.col("text"))).withColumn("back", size(F.substring("text", F.lit(1), F.col("overlap_chars").cast("int"))))
+    before = F.coalesce(F.sum(F.col("n") - F.col("back")).over(Window.partitionBy("doc_id").orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    judged = pieces.withColumn("wrong", F.col("back") != F.least(F.lit(overlap), before))
+    count = lambda c: F.sum(c.cast("long"))
+    return judged.groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("start_char") - F.col("overlap_chars")).alias("covered_chars"), count(F.col("n") > limit).alias("n_over"), count(F.col("wrong")).alias("n_wrong_overlap"))
+
+
+def p9_natural(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of pieces, in percent, that begin at a natural boundary; the first of a text don't count."""
+    counts = p9_boundaries(spark, folder).filter("begins_at not in ('whole', 'start')")
+    return counts.agg(F.sum("n").alias("n_pieces"), F.round(100 * F.sum(F.when(F.col("begins_at") != "token", F.col("n"))) / F.sum("n"), 2).alias("natural_percent"))
+
+
 def p9_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     """Where the pieces begin: how often at which kind of boundary."""
     limit, overlap = limit_of(spark, folder, "piece")
@@ -97,4 +115,4 @@ def p9_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.groupBy("begins_at").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
 
 
-QUERIES = {f.__name__: f for f in (p7_containers, p7_fill, p8_found, p8_shares, p8_targets, p8_within_a_block, p8_block_tokens, p8_drawn, p9_found, p9_pieces, p9_boundaries)}
+QUERIES = {f.__name__: f for f in (p7_containers, p7_fill, p8_found, p8_shares, p8_targets, p8_within_a_block, p8_block_tokens, p8_drawn, p9_found, p9_pieces, p9_cover, p9_natural, p9_boundaries)}

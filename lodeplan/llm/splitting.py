@@ -1,10 +1,11 @@
 """Splitting oversized texts at natural boundaries.
 
-Structure-tree packing: headings, paragraphs, blocks, list items, table rows, lines and sentences
-nest, so a text is a tree whose nodes are separated by boundaries of a rank; the lower the
-rank, the higher up in the tree. A node within the limit is one unit. A larger one is taken apart at
-its strongest boundaries; neighbouring children are merged as long as they fit, and only children
-that are still too large are descended into. The last resort is the boundary between tokens.
+Structure-tree packing: headings, paragraphs, blocks, list items, table rows and lines of wiki
+markup, Markdown or HTML nest, so a text is parsed into a tree whose siblings are separated by
+boundaries of one rank; the lower the rank, the higher up in the tree. From the bottom up, sibling
+subtrees are merged as long as they fit; a subtree within the limit is never looked into, only
+children that are too large are descended into, down to sentences. The last resort is the boundary
+between tokens.
 
 Sizes are the plain ones: matches of ``\\p{Punct}|[^\\p{Punct}\\s]+`` with ASCII classes.
 """
@@ -28,7 +29,11 @@ from lodeplan.sources.tables import spread
 PARAGRAPH, BLOCK, ITEM, LINE, MARKUP, SENTENCE, TOKEN = 7, 8, 9, 13, 14, 15, 16
 KIND_NAMES = {PARAGRAPH: "paragraph", BLOCK: "block", LINE: "line", MARKUP: "markup", SENTENCE: "sentence", TOKEN: "token"}
 _BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]|<br */?>)"
-_LINE = re.compile(_BREAK + rf"(?P<blank>[ \t]*{_BREAK}\s*)?(?:(?P<heading>={{1,6}})(?!=)|(?P<list>[*#:;]+)|(?P<row>\|-|!)|(?P<block>\{{\||\{{\{{|<!--)|(?P<cell>\|))?")
+_LINE = re.compile(
+    _BREAK + rf"(?P<blank>[ \t]*{_BREAK}\s*)?"
+    r"(?:(?P<heading>={1,6})(?!=)|(?P<hashes>#{1,6})(?=[ \t])|(?P<list>[*#:;]+)|(?P<bullet>[ \t]*(?:[-+*\u2022]|\d{1,3}[.)])(?=[ \t]))|(?P<row>\|-|!)|(?P<block>\{\||\{\{|<!--|```|~~~)|(?P<cell>\|))?"
+)
+_TAG = re.compile(r"<(?:h(?P<heading>[1-6])|(?P<paragraph>p|section|article)|(?P<block>table|ul|ol|dl|div|pre|blockquote)|(?P<item>li|dt|dd|tr))(?=[\s/>])", re.IGNORECASE)
 _PAIRS = re.compile(r"\{\{|\}\}|\{\||\|\}")
 _SENTENCE = re.compile(r"(?:[.!?][\"'”»)\]]*|[。！？])\s*(?=\S)")
 
@@ -64,112 +69,137 @@ def _covered(text: str) -> np.ndarray:
     return np.array(outer, np.int64)
 
 
-def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a line begins, and the rank of the boundary before each."""
+def boundaries(text: str, markdown: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a line or an HTML element begins, and the rank of the boundary before each.
+
+    Lines of ``#`` are numbered items in wiki markup, and headings if ``markdown``.
+    """
     at, rank = [], []
     before = None
     for match in _LINE.finditer(text):
-        if match["heading"]:
-            start, own, kind = match.start("heading"), len(match["heading"]), "heading"
+        kind = match.lastgroup if match.lastgroup != "blank" else None
+        if kind == "hashes" and not markdown:
+            kind = "list"
+        start = match.end() if kind is None else match.start(match.lastgroup)
+        if kind in ("heading", "hashes"):
+            own = match.end() - start
+        elif match["blank"] is not None:
+            own = PARAGRAPH
+        elif kind == "block" or (kind != before and ({kind, before} & {"list", "bullet"})):
+            own = BLOCK
+        elif kind == "list":
+            own = ITEM + min(match.end() - start, 4) - 1
+        elif kind == "bullet":
+            indent = len(match["bullet"]) - len(match["bullet"].lstrip())
+            own = ITEM + min(indent // 2, 3)
         else:
-            kind = match.lastgroup if match.lastgroup != "blank" else None
-            start = match.end() if kind is None else match.start(kind)
-            if match["blank"] is not None:
-                own = PARAGRAPH
-            elif kind == "block" or (kind != before and "list" in (kind, before)):
-                own = BLOCK
-            elif kind == "list":
-                own = ITEM + min(len(match["list"]), 4) - 1
-            else:
-                own = ITEM if kind == "row" else LINE
+            own = ITEM if kind == "row" else LINE
         before = kind
         at.append(start)
         rank.append(own)
+    for match in _TAG.finditer(text):
+        at.append(match.start())
+        rank.append(int(match["heading"]) if match["heading"] else {"paragraph": PARAGRAPH, "block": BLOCK, "item": ITEM}[match.lastgroup])
     places, ranks = np.array(at, np.int64), np.array(rank, np.int64)
-    inside = np.searchsorted(_covered(text), places, "right") % 2 == 1
+    covered = _covered(text)
+    inside = np.searchsorted(covered, places, "right") % 2 == 1
     # The line that begins a template or table is its edge, not its inside.
-    edge = np.isin(places, _covered(text)[::2])
-    ranks = np.where(inside & ~edge, np.maximum(ranks, MARKUP), ranks)
+    ranks = np.where(inside & ~np.isin(places, covered[::2]), np.maximum(ranks, MARKUP), ranks)
     return places, ranks
 
 
-def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
+class Node:
+    """The tokens [start, end) of a text; an inner node's children are separated by one rank."""
+
+    def __init__(self, start: int, end: int, rank: int = TOKEN, children: list["Node"] | None = None) -> None:
+        self.start, self.end, self.rank, self.children = start, end, rank, children or []
+
+
+def tree(start: int, end: int, places: list[int], ranks: list[int]) -> Node:
+    """The tree of the tokens [start, end), given the boundaries between them in order."""
+    open_nodes: list[Node] = []
+    last = start
+    for place, rank in zip([*places, end], [*ranks, -1]):
+        done = Node(last, place)
+        # Deeper nodes end here.
+        while open_nodes and open_nodes[-1].rank > rank:
+            done = Node(open_nodes[-1].start, place, open_nodes[-1].rank, [*open_nodes.pop().children, done])
+        if open_nodes and open_nodes[-1].rank == rank:
+            open_nodes[-1].children.append(done)
+        elif rank >= 0:
+            open_nodes.append(Node(done.start, -1, rank, [done]))
+        last = place
+    return done
+
+
+def split_text(text: str, limit: int, overlap: int, markdown: bool = False) -> list[tuple[int, int, int, int, str]]:
     """Pieces (start, end, overlap characters, tokens, kind of the boundary it begins at).
 
     Pieces cover the text; from the second on each begins with the last ``overlap`` tokens before
     it. No piece has more than ``limit`` tokens.
     """
-    starts = np.flatnonzero(token_starts(classes_of(text)))
+    classes = classes_of(text)
+    starts = np.flatnonzero(token_starts(classes))
     n = len(starts)
     if n <= limit:
         return [(0, len(text), 0, n, "whole")]
     budget = limit - overlap
-    places, ranks = boundaries(text)
+    places, ranks = boundaries(text, markdown)
     # In tokens: a boundary lies before the first token at or after its place. A place within a
     # token (no white space around it) is none; of several before a token the strongest counts.
     before = np.searchsorted(starts, places)
     fits = (before > 0) & (before < n)
-    if len(places):
-        in_word = np.zeros(len(places), bool)
-        classes = classes_of(text)
-        inner = (places > 0) & (places < len(text))
-        in_word[inner] = (classes[places[inner]] == 0) & (classes[places[inner] - 1] == 0)
-        fits &= ~in_word
-    before, ranks = before[fits], ranks[fits]
-    strongest = np.full(n, TOKEN + 1)
-    np.minimum.at(strongest, before, ranks)
-    pieces: list[tuple[int, int]] = []
-    at_kind: dict[int, int] = {}
-
-    def descend(a: int, b: int, rank: int) -> None:
-        """Cut the node of tokens [a, b), all of whose boundaries are weaker than ``rank``."""
-        if b - a <= budget:
-            pieces.append((a, b))
-            return
-        inner = strongest[a + 1 : b]
-        best = int(inner.min()) if rank < SENTENCE else TOKEN
-        if best > SENTENCE and rank < SENTENCE:
-            # A single line: look for sentences now, and only here.
-            lo, hi = int(starts[a]), int(starts[b]) if b < n else len(text)
-            ends = np.searchsorted(starts, [m.end() + lo for m in _SENTENCE.finditer(text[lo:hi])])
-            ends = ends[(ends > a) & (ends < b)]
-            strongest[ends] = np.minimum(strongest[ends], SENTENCE)
-            best = SENTENCE if len(ends) else TOKEN
-        if best >= TOKEN:
-            for cut in range(a, b, budget):
-                at_kind.setdefault(cut, TOKEN)
-                pieces.append((cut, min(cut + budget, b)))
-            return
-        edges = [a, *(np.flatnonzero(inner == best) + a + 1).tolist(), b]
-        held = a  # siblings [held, here) are merged so far
-        for here, there in zip(edges[:-1], edges[1:]):
-            if here > a:
-                at_kind.setdefault(here, best)
-            if there - held <= budget:
+    inner = (places > 0) & (places < len(text))
+    fits[inner] &= ~((classes[places[inner]] == 0) & (classes[places[inner] - 1] == 0))
+    strongest = np.full(n, TOKEN)
+    np.minimum.at(strongest, before[fits], ranks[fits])
+
+    def merged(node: Node) -> list[tuple[int, int]]:
+        """The pieces of a node that is too large."""
+        if not node.children:
+            return sentences(node)
+        pieces: list[tuple[int, int]] = []
+        held = None  # siblings merged so far
+        for child in node.children:
+            if held is not None and child.end - held <= budget:
                 continue
-            if here > held:
-                pieces.append((held, here))
-            held = here
-            if there - here > budget:
-                descend(here, there, best)
-                held = there
-        if b > held:
-            pieces.append((held, b))
-
-    descend(0, n, 0)
+            if held is not None and child.start > held:
+                pieces.append((held, child.start))
+            held = child.start
+            if child.end - child.start > budget:
+                pieces += merged(child)
+                held = None
+        if held is not None:
+            pieces.append((held, node.end))
+        return pieces
+
+    def sentences(node: Node) -> list[tuple[int, int]]:
+        """The pieces of a single line, at its sentences or, in one that is too long, at tokens."""
+        lo, hi = int(starts[node.start]), int(starts[node.end]) if node.end < n else len(text)
+        ends = np.unique(np.searchsorted(starts, [m.end() + lo for m in _SENTENCE.finditer(text[lo:hi])]))
+        ends = ends[(ends > node.start) & (ends < node.end)].tolist() if node.rank == TOKEN else []
+        if ends:
+            strongest[ends] = SENTENCE
+            line = tree(node.start, node.end, ends, [SENTENCE] * len(ends))
+            for part in line.children:
+                part.rank = SENTENCE  # isn't looked into for sentences again
+            return merged(line)
+        return [(at, min(at + budget, node.end)) for at in range(node.start, node.end, budget)]
+
+    cuts = np.flatnonzero(strongest < TOKEN)
     out = []
-    for a, b in pieces:
+    for a, b in merged(tree(0, n, cuts.tolist(), strongest[cuts].tolist())):
         first = max(0, a - overlap) if a else 0
         begin = 0 if a == 0 else int(starts[first])
         content = 0 if a == 0 else int(starts[a])
         end = int(starts[b]) if b < n else len(text)
-        kind = at_kind.get(a, 0)
+        kind = int(strongest[a])
         name = "start" if a == 0 else KIND_NAMES.get(kind, "heading" if kind < PARAGRAPH else "item")
         out.append((begin, end, content - begin, b - first, name))
     return out
 
 
-def split_documents(documents: DataFrame, *, doc_id: str, text: str, limit: int, overlap: int, with_text: bool = True) -> DataFrame:
+def split_documents(documents: DataFrame, *, doc_id: str, text: str, limit: int, overlap: int, with_text: bool = True, markdown: bool = False) -> DataFrame:
     """Every text as pieces of at most ``limit`` tokens.
 
     Returns ``(doc_id, piece_no, n_pieces, start_char, end_char, overlap_chars, n_tokens, begins_at)``
@@ -177,7 +207,8 @@ def split_documents(documents: DataFrame, *, doc_id: str, text: str, limit: int,
     piece; a null text is one piece of size 0 with null text. A piece runs to the start of the next
     one's own part, so white space at a boundary stays with the piece before it. Repeated rows are
     split each. ``overlap`` must be less than ``limit``. Other columns are ignored. Texts are split
-    where they are read; only an input of fewer partitions than cores is spread first.
+    where they are read; only an input of fewer partitions than cores is spread first. ``markdown``:
+    whether lines that begin with ``#`` are headings rather than numbered items of wiki markup.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
@@ -193,7 +224,7 @@ def split_documents(documents: DataFrame, *, doc_id: str, text: str, limit: int,
             row, found = [], []
             texts = column.take(pa.array(large)).to_pylist()
             for i, value in zip(large.tolist(), texts):
-                got = split_text(value, limit, overlap)
+                got = split_text(value, limit, overlap, markdown)
                 row += [i] * len(got)
                 found += [(k, len(got), *piece) + ((value[piece[0] : piece[1]],) if with_text else ()) for k, piece in enumerate(got)]
             yield _batch(batch, row, found, schema)
