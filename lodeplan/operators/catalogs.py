@@ -12,15 +12,18 @@ from lodeplan.functions.text import short_id
 PINNED = ["snapshot_id", "id", "version"]
 
 
-def latest(records: DataFrame) -> DataFrame:
-    """One row per snapshot and id: the last delivery by (loaded_at, record_id)."""
-    rest = [c for c in records.columns if c not in ("snapshot_id", "id")]
+def latest(records: DataFrame, *columns: str) -> DataFrame:
+    """One row per snapshot and id: the last delivery by (loaded_at, record_id), with ``columns`` or all.
+
+    Only the columns asked for are shuffled.
+    """
+    rest = list(columns) or [c for c in records.columns if c not in ("snapshot_id", "id")]
     return records.groupBy("snapshot_id", "id").agg(F.max_by(F.struct(*rest), F.struct("loaded_at", "record_id")).alias("r")).select("snapshot_id", "id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def queryable(tables: DataFrame) -> DataFrame:
     """Tables that may be executed: approved and certified, with a key."""
-    return latest(tables).filter((F.lower("publication_status") == "approved") & F.col("is_certified") & (F.size("primary_key") > 0)).select("snapshot_id", "id", "domain")
+    return latest(tables, "publication_status", "is_certified", "primary_key", "domain").filter((F.lower("publication_status") == "approved") & F.col("is_certified") & (F.size("primary_key") > 0)).select("snapshot_id", "id", "domain")
 
 
 def metric_closure(values: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -93,16 +96,46 @@ def unresolved(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def column_cards(columns: DataFrame) -> DataFrame:
+    """(snapshot_id, id, object_type, table_id, domain, access_scope, title, content) of columns."""
+    rows = latest(columns, "table_id", "domain", "access_scope", "name", "data_type", "synonyms", "unit", "classification")
+    content = F.concat_ws(" ", F.lit("column"), "name", "data_type", F.concat_ws(" ", "synonyms"), "unit", "classification")
+    return rows.select("snapshot_id", "id", F.lit("column").alias("object_type"), F.lower(F.trim("table_id")).alias("table_id"), "domain", "access_scope", F.col("name").alias("title"), content.alias("content"))
+
+
 def cards(tables: DataFrame, columns: DataFrame, metrics: DataFrame, relationships: DataFrame) -> DataFrame:
     """(chunk_id, snapshot_id, object_id, object_type, table_id, domain, access_scope, title, content): a search card per object."""
     none = F.lit(None).cast("string")
     open_to_all = none.alias("access_scope")
     words = lambda *c: F.concat_ws(" ", *c)
     parts = [
-        latest(tables).select("snapshot_id", "id", F.lit("table").alias("object_type"), F.col("id").alias("table_id"), "domain", "access_scope", F.col("name").alias("title"), words(F.lit("table"), "name", "domain", F.concat_ws(" ", "tags")).alias("content")),
-        latest(columns).select("snapshot_id", "id", F.lit("column").alias("object_type"), F.lower(F.trim("table_id")).alias("table_id"), "domain", "access_scope", F.col("name").alias("title"), words(F.lit("column"), "name", "data_type", F.concat_ws(" ", "synonyms"), "unit", "classification").alias("content")),
-        latest(metrics).select("snapshot_id", "id", F.lit("metric").alias("object_type"), F.lower(F.trim("base_table")).alias("table_id"), "domain", open_to_all, F.col("id").alias("title"), words(F.lit("metric"), "id", "unit").alias("content")),
-        latest(relationships).select("snapshot_id", "id", F.lit("relationship").alias("object_type"), none.alias("table_id"), "domain", open_to_all, F.col("id").alias("title"), words(F.lit("relationship"), "left_table", "right_table", "cardinality").alias("content")),
+        latest(tables, "domain", "access_scope", "name", "tags").select("snapshot_id", "id", F.lit("table").alias("object_type"), F.col("id").alias("table_id"), "domain", "access_scope", F.col("name").alias("title"), words(F.lit("table"), "name", "domain", F.concat_ws(" ", "tags")).alias("content")),
+        column_cards(columns),
+        latest(metrics, "base_table", "domain", "unit").select("snapshot_id", "id", F.lit("metric").alias("object_type"), F.lower(F.trim("base_table")).alias("table_id"), "domain", open_to_all, F.col("id").alias("title"), words(F.lit("metric"), "id", "unit").alias("content")),
+        latest(relationships, "domain", "left_table", "right_table", "cardinality").select("snapshot_id", "id", F.lit("relationship").alias("object_type"), none.alias("table_id"), "domain", open_to_all, F.col("id").alias("title"), words(F.lit("relationship"), "left_table", "right_table", "cardinality").alias("content")),
     ]
-    every = reduce(DataFrame.unionByName, parts)
+    return _with_ids(reduce(DataFrame.unionByName, parts))
+
+
+def more_cards(tables: DataFrame, columns: DataFrame, rules: DataFrame) -> DataFrame:
+    """Search cards like those of :func:`cards` for what spans tables: a rule by its class, domain and
+    what it does in case of failure; a domain by the names of its tables; a glossary term by the
+    columns it is a synonym of. A null or blank domain or term has no card."""
+    none = F.lit(None).cast("string")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " ")
+    word = F.lower(F.trim("term"))
+    terms = latest(columns, "synonyms").select("snapshot_id", F.col("id").alias("ref"), F.explode("synonyms").alias("term")).withColumn("term", word).filter("term <> ''")
+    domains = latest(tables, "domain", "name").filter(F.trim("domain") != "")
+    own = lambda kind, df, domain, title, content: df.select("snapshot_id", "id", F.lit(kind).alias("object_type"), none.alias("table_id"), domain.alias("domain"), none.alias("access_scope"), title.alias("title"), content.alias("content"))
+    by_domain = domains.groupBy("snapshot_id", F.col("domain").alias("id")).agg(listed("name").alias("names"))
+    by_term = terms.groupBy("snapshot_id", F.col("term").alias("id")).agg(listed("ref").alias("refs"))
+    parts = [
+        own("rule", latest(rules, "domain", "rule_class", "failure"), F.col("domain"), F.col("id"), F.concat_ws(" ", F.lit("rule"), "id", "rule_class", "failure")),
+        own("domain", by_domain, F.col("id"), F.col("id"), F.concat_ws(" ", F.lit("domain"), "id", "names")),
+        own("term", by_term, none, F.col("id"), F.concat_ws(" ", F.lit("term"), "id", "refs")),
+    ]
+    return _with_ids(reduce(DataFrame.unionByName, parts))
+
+
+def _with_ids(every: DataFrame) -> DataFrame:
     return every.select(short_id(F.col("snapshot_id"), F.col("object_type"), F.col("id")).alias("chunk_id"), "snapshot_id", F.col("id").alias("object_id"), "object_type", "table_id", "domain", "access_scope", "title", "content")

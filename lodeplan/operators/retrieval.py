@@ -151,6 +151,25 @@ def fuse(*branches: DataFrame, k: int | None = None) -> DataFrame:
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
+def authorized_hits(ranked: DataFrame, denied: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits checked once more after ranking: those no denied id hides, ranked anew, and the numbers of
+    hits dropped, (query_id, n_denied), of queries that lost some. ``denied``: (id)."""
+    kept = visible(ranked, denied, id="doc_id")
+    again = Window.partitionBy("query_id").orderBy("_old")
+    lost = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("left")), "query_id", "left")
+    dropped = lost.select("query_id", (F.col("n") - F.coalesce("left", F.lit(0))).alias("n_denied")).filter("n_denied > 0")
+    return kept.withColumnRenamed("rank", "_old").withColumn("rank", F.row_number().over(again)).drop("_old"), dropped
+
+
+def completion(queries: DataFrame, served: list[DataFrame]) -> DataFrame:
+    """(query_id, status) of a search over several branches: ``complete`` if all could serve the query,
+    ``partial`` if some could, else ``failed``. ``served``: per branch the (query_id) it could serve;
+    a branch that could but found nothing has served it."""
+    marks = reduce(DataFrame.unionByName, [b.select("query_id").distinct() for b in served]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    status = F.when(F.col("n") == len(served), "complete").when(F.col("n") > 0, "partial").otherwise("failed")
+    return queries.select("query_id").distinct().join(marks, "query_id", "left").select("query_id", status.alias("status"))
+
+
 def cap_per_source(ranked: DataFrame, *, source: str, cap: int = 3) -> DataFrame:
     """At most ``cap`` hits of a source per query, in rank order, ranked anew."""
     within = Window.partitionBy("query_id", source).orderBy("rank")

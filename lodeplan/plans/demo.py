@@ -62,6 +62,37 @@ def catalog(snapshot_id: str = "demo-1") -> Catalog:
     return Catalog(snapshot_id, records)
 
 
+def geography() -> Catalog:
+    """Orders, their customers, and the customers' nations and regions, several joins apart."""
+    orders, customers, nations, regions = (f"star.{n}" for n in ("orders", "customer", "nation", "region"))
+    edge = lambda id, left, right, on, **how: Edge(id=f"star.{id}", left=left, right=right, predicates=(("eq", *on),), **how)
+    records = [
+        *[Table(id=t, physical=t, grain=(key,), certified=True, tags=("fact",) if t == orders else ()) for t, key in ((orders, f"{orders}.o_orderkey"), (customers, f"{customers}.c_custkey"), (nations, f"{nations}.n_nationkey"), (regions, f"{regions}.r_regionkey"))],
+        *_columns(orders, "o_orderkey BIGINT", "o_custkey BIGINT", "o_orderdate DATE event", "o_totalprice DOUBLE"),
+        *_columns(customers, "c_custkey BIGINT", "c_nationkey BIGINT", "c_mktsegment VARCHAR"),
+        *_columns(nations, "n_nationkey BIGINT", "n_regionkey BIGINT", "n_name VARCHAR"),
+        *_columns(regions, "r_regionkey BIGINT", "r_name VARCHAR"),
+        edge("order_customer", orders, customers, (f"{orders}.o_custkey", f"{customers}.c_custkey"), cardinality="many_to_one"),
+        edge("customer_nation", customers, nations, (f"{customers}.c_nationkey", f"{nations}.n_nationkey"), cardinality="many_to_one", join_type="left"),
+        # Stated from the region's side, so it is walked in reverse.
+        edge("region_nations", regions, nations, (f"{regions}.r_regionkey", f"{nations}.n_regionkey"), cardinality="one_to_many"),
+        *[Metric(id=f"star.{n}", name=n, base_table=orders, expression=Aggregate("count"), time_column=f"{orders}.o_orderdate") for n in ("orders_placed", "orders_of_large_nations", "orders_of_other_nations")],
+        Metric(id="star.largest", name="largest", base_table=orders, expression=Aggregate("max", Col(f"{orders}.o_totalprice")), time_column=f"{orders}.o_orderdate"),
+        Dimension(id="star.r_name", name="Region", column=f"{regions}.r_name"),
+        Dimension(id="star.n_name", name="Nation", column=f"{nations}.n_name"),
+        Dimension(id="star.segment", name="Segment", column=f"{customers}.c_mktsegment"),
+        # Conditions after aggregation: on the measure, and on a key of the groups.
+        Rule(id="star.large_only", rule_class="mandatory_business_population", activation=("uses_metric", "star.orders_of_large_nations"), placement="after_aggregation", effect=("require_population_filter", Compare("gte", Col("star.orders_of_large_nations"), Lit(600, "integer")))),
+        Rule(id="star.not_seven", rule_class="mandatory_business_population", activation=("uses_metric", "star.orders_of_other_nations"), placement="after_aggregation", effect=("require_population_filter", Compare("ne", Col(f"{nations}.n_name"), Lit("NATION_7")))),
+    ]
+    return Catalog("demo-1", records)
+
+
+def geographer() -> Policy:
+    """One principal who may see all of the geography."""
+    return Policy(1, {"geographer": Principal("geographer", "all", grants={a: ("star.*",) for a in ("discover", "read", "use_in_predicate", "execute_metric", "disclose")})})
+
+
 def policy(*tenants: str) -> Policy:
     """A full and a restricted principal for the first tenant, and a full one for each other."""
     everything = {a: ("warehouse.commerce.*", "finance.*", "commerce.*", "customer.*") for a in ("discover", "read", "use_in_predicate", "execute_metric", "disclose")}

@@ -114,6 +114,42 @@ def tenant_isolation(spark, folder):
     return governed(spark, folder, Request(("finance.revenue",), ("customer.region_at_order",), **PERIOD), "full_tenant-b")
 
 
+def _geographic(spark: SparkSession, folder: str, request: Request) -> DataFrame:
+    _, df, _ = prepare(demo.geography(), demo.geographer(), "geographer", request, lambda id: table(spark, folder, id.removeprefix("star.")))
+    return df
+
+
+_GEO = "FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey"
+
+
+@query(f"SELECT r_name, count(*) AS orders_placed {_GEO} JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def governed_multi_hop(spark, folder):
+    """Three joins from the orders, one of them left and one walked in reverse."""
+    return _geographic(spark, folder, Request(("star.orders_placed",), ("star.r_name",)))
+
+
+@query(f"SELECT n_name, c_mktsegment AS segment, max(o_totalprice) AS largest {_GEO} GROUP BY ALL")
+def governed_left_join(spark, folder):
+    return _geographic(spark, folder, Request(("star.largest",), ("star.n_name", "star.segment")))
+
+
+@query(f"SELECT n_name, count(*) AS orders_of_large_nations {_GEO} GROUP BY n_name HAVING count(*) >= 600")
+def governed_having_measure(spark, folder):
+    return _geographic(spark, folder, Request(("star.orders_of_large_nations",), ("star.n_name",)))
+
+
+@query(f"SELECT n_name, count(*) AS orders_of_other_nations {_GEO} GROUP BY n_name HAVING n_name <> 'NATION_7'")
+def governed_having_key(spark, folder):
+    return _geographic(spark, folder, Request(("star.orders_of_other_nations",), ("star.n_name",)))
+
+
+@query(f"SELECT n_name, count(*) AS orders_placed {_GEO} WHERE n_name IN ('NATION_3', 'O''Brien''s  isle', 'back\\slash') AND o_totalprice >= 1000 GROUP BY n_name")
+def governed_awkward_filters(spark, folder):
+    """Values with quotes, two spaces, a backslash and an exponent."""
+    filters = (("star.n_name", "in", ("NATION_3", "O'Brien's  isle", "back\\slash")), ("star.orders.o_totalprice", "gte", ("1e3",)))
+    return _geographic(spark, folder, Request(("star.orders_placed",), ("star.n_name",), filters=filters))
+
+
 def _attested(spark: SparkSession, folder: str, moved: str) -> DataFrame:
     request = Request(("commerce.order_count",), **PERIOD)
     bound = bind(demo.catalog(), demo.policy("tenant-a").scope("full_tenant-a", "demo-1"), request, "commerce.order_count")
@@ -210,6 +246,26 @@ def ratio_zero(spark, folder):
     return _ratio(spark, folder, "zero")
 
 
+_RATIO_OF = "SELECT tenant_id, customer_id, {} AS ratio FROM (SELECT tenant_id, customer_id, CAST(count(*) AS DOUBLE) AS a, CAST(count(CASE WHEN is_test THEN 1 END) AS DOUBLE) AS b FROM commerce_orders GROUP BY ALL)"
+
+
+def _ratio_of(spark: SparkSession, folder: str, zero: str) -> DataFrame:
+    """Orders per test order of each customer; most customers have no test order."""
+    orders = table(spark, folder, "commerce_orders").withColumn("flag", F.when(F.col("is_test"), 1))
+    ctx = Context(lambda id: orders[id])
+    return orders.groupBy("tenant_id", "customer_id").agg(F.round(ctx.measure(Ratio(Aggregate("count"), Aggregate("count", Col("flag")), zero)), 6).alias("ratio"))
+
+
+@query(_RATIO_OF.format("round(a / nullif(b, 0), 6)"))
+def ratio_null_by_customer(spark, folder):
+    return _ratio_of(spark, folder, "null")
+
+
+@query(_RATIO_OF.format("coalesce(round(a / nullif(b, 0), 6), 0)"))
+def ratio_zero_by_customer(spark, folder):
+    return _ratio_of(spark, folder, "zero")
+
+
 for _grain in ("day", "week", "month", "quarter", "year"):
     QUERIES[f"bucket_{_grain}"] = lambda spark, folder, grain=_grain: table(spark, folder, "commerce_orders", "ordered_at").groupBy(bucket(F.col("ordered_at"), grain).cast("date").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     SQL[f"bucket_{_grain}"] = f"SELECT CAST(date_trunc('{_grain}', ordered_at AT TIME ZONE 'UTC') AS DATE) AS bucket, count(*) AS n FROM commerce_orders GROUP BY ALL"
@@ -417,6 +473,20 @@ def permitted_cards(spark, folder):
     return retrieval.permitted(_cards(spark, folder), reader, "year-end", types=["table", "column"]).groupBy("object_type", "domain", "access_scope").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH t AS ({_LATEST.format('catalog_tables')}), c AS ({_LATEST.format('catalog_columns')}), r AS ({_LATEST.format('catalog_rules')}),
+cards AS (
+SELECT 'rule' AS object_type, snapshot_id, id, concat_ws(' ', 'rule', id, rule_class, failure) AS content FROM r
+UNION ALL SELECT 'domain', snapshot_id, domain, concat_ws(' ', 'domain', domain, coalesce(string_agg(DISTINCT name, ' ' ORDER BY name), '')) FROM t WHERE trim(domain) <> '' GROUP BY snapshot_id, domain
+UNION ALL SELECT 'term', snapshot_id, term, concat_ws(' ', 'term', term, string_agg(DISTINCT id, ' ' ORDER BY id)) FROM (SELECT snapshot_id, id, lower(trim(unnest(synonyms))) AS term FROM c) WHERE term <> '' GROUP BY snapshot_id, term)
+SELECT object_type, snapshot_id, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars, count(DISTINCT left(sha256(concat_ws('|', snapshot_id, object_type, id)), 10)) AS chunks FROM cards GROUP BY ALL"""
+)
+def rule_domain_term_cards(spark, folder):
+    t = lambda n: table(spark, folder, n)
+    made = catalogs.more_cards(t("catalog_tables"), t("catalog_columns"), t("catalog_rules"))
+    return made.groupBy("object_type", "snapshot_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"), F.count_distinct("chunk_id").alias("chunks"))
+
+
 @query("SELECT count(*) AS n FROM catalog_tables WHERE id NOT LIKE 'warehouse.finance.%' AND id NOT LIKE 'warehouse.people.%'")
 def deny_prefix_filter(spark, folder):
     denied = spark.createDataFrame([("warehouse.finance",), ("warehouse.people",)], "id string")
@@ -550,6 +620,95 @@ def cosine_embeddings(spark, folder):
     return found.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_NEAR = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label, round(list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(d.e, d.e)), 6) AS score
+  FROM v q, v d WHERE q.vec_id % 100 = 0),
+"""
+
+
+def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All usable vectors, and the query set: ids divisible by 100."""
+    vectors = retrieval.usable_vectors(table(spark, folder, "embeddings"), vector="embedding", size=64)
+    return vectors, vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    return hits.filter(F.col("rank") <= k).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_TOP = " SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= "
+
+
+@query(_NEAR + "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE label % 2 = 0)" + _TOP + "5")
+def cosine_with_filter(spark, folder):
+    """Nearest neighbours among vectors of even labels: the filter comes before the ranking."""
+    vectors, queries = _vectors(spark, folder)
+    return _ranked(retrieval.cosine(vectors.filter("label % 2 = 0"), queries, doc_id="vec_id", vector="embedding", k=5), 5)
+
+
+@query(
+    _NEAR + """h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s QUALIFY r <= 20),
+r AS (SELECT h.query_id, h.doc_id, round(CASE WHEN h.label = q.label THEN 1.0 ELSE 0.0 END + h.score / 10, 6) AS score, row_number() OVER (PARTITION BY h.query_id ORDER BY round(CASE WHEN h.label = q.label THEN 1.0 ELSE 0.0 END + h.score / 10, 6) DESC, h.doc_id) AS rank FROM h JOIN v q ON q.vec_id = h.query_id)""" + _TOP + "10"
+)
+def reranked_by_label(spark, folder):
+    """The best 20 by similarity, ranked again with those of the query's label first."""
+    vectors, queries = _vectors(spark, folder)
+    hits = retrieval.cosine(vectors, queries, doc_id="vec_id", vector="embedding", k=20)
+    labels = vectors.select(F.col("vec_id").alias("doc_id"), "label").join(hits, "doc_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    scores = labels.select("query_id", "doc_id", F.round(F.when(F.col("label") == F.col("own"), 1.0).otherwise(0.0) + F.col("score") / 10, 6).alias("score"))
+    return _ranked(retrieval.rerank(hits, scores, k=10), 10)
+
+
+@query(
+    """SELECT query_id, CASE n WHEN 2 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'failed' END AS status FROM (
+SELECT doc_id AS query_id, (len(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9_]+')) > 0)::INT + EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id AND len(e.embedding) = 64)::INT AS n FROM documents d WHERE doc_id % 100 = 0)"""
+)
+def search_completion(spark, folder):
+    """Which searches both branches can serve: words of the title, a vector of the document."""
+    queries = table(spark, folder, "documents", F.col("doc_id").alias("query_id"), "title").filter("query_id % 100 = 0")
+    _, vectors = _vectors(spark, folder)
+    return retrieval.completion(queries, [queries.filter(F.size(tokens(F.col("title"))) > 0), vectors])
+
+
+_COLUMN_CARDS = (
+    f"""WITH cards AS (SELECT id, lower(trim(table_id)) AS table_id, snapshot_id, concat_ws(' ', 'column', name, data_type, coalesce(array_to_string(synonyms, ' '), ''), unit, classification) AS content FROM ({_LATEST.format('catalog_columns')})),
+d AS (SELECT c.id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS toks, snapshot_id = 'year-end' AND table_id IN (SELECT id FROM ({_LATEST.format('catalog_tables')}) t WHERE t.snapshot_id = 'year-end' AND domain = 'commerce') AS kept FROM cards c WHERE snapshot_id = 'year-end'),
+s AS (SELECT avg(len(toks)) AS al, count(*) FILTER (kept) AS n FROM d),
+q AS (SELECT 'amount' AS query_id, 'amount' AS token UNION ALL SELECT 'amount', 'decimal' UNION ALL SELECT 'when', 'timestamptz'),
+p AS (SELECT id, len_, token, count(*) AS tf FROM (SELECT id, len(toks) AS len_, unnest(toks) AS token FROM d WHERE kept) WHERE token IN (SELECT token FROM q) GROUP BY ALL),
+f AS (SELECT token, count(*) AS df FROM p GROUP BY ALL),
+scored AS (SELECT query_id, id AS doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len_ / al))), 6) AS score FROM p JOIN f USING (token) JOIN q USING (token), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 15)"""
+)
+
+
+def _column_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns by keywords, within the tables of one domain; statistics of length are those of the snapshot."""
+    columns = table(spark, folder, "catalog_columns").filter("snapshot_id = 'year-end'")
+    tables = catalogs.latest(table(spark, folder, "catalog_tables").filter("snapshot_id = 'year-end'"), "domain").filter("domain = 'commerce'").select(F.col("id").alias("table_id"), F.lit(True).alias("within"))
+    made = catalogs.column_cards(columns).join(tables, "table_id", "left").withColumn("within", F.coalesce("within", F.lit(False)))
+    queries = spark.createDataFrame([("amount", "amount decimal"), ("when", "timestamptz")], "query_id string, text string")
+    return retrieval.bm25(made, queries, doc_id="id", text="content", keep="within", k=15)
+
+
+@query(_COLUMN_CARDS + " SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS BIGINT) AS rank FROM r")
+def columns_of_tables(spark, folder):
+    return _ranked(_column_hits(spark, folder), 15)
+
+
+@query(
+    _COLUMN_CARDS + """, k AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE doc_id NOT LIKE 'warehouse.commerce.route%')
+SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS BIGINT) AS rank FROM k"""
+)
+def authorized_after_ranking(spark, folder):
+    """The same hits checked once more against denied tables, and ranked anew."""
+    hits = _column_hits(spark, folder)
+    denied = table(spark, folder, "catalog_tables", "id").distinct().filter("id like 'warehouse.commerce.route%'")
+    kept, _ = retrieval.authorized_hits(hits, denied)
+    return _ranked(kept, 15)
+
+
 @query("SELECT label, count(*) AS n, count(DISTINCT len(embedding)) AS sizes FROM embeddings GROUP BY label")
 def embedding_sizes(spark, folder):
     return table(spark, folder, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.size("embedding")).alias("sizes"))
