@@ -346,16 +346,16 @@ def _policy() -> Policy:
 
 
 @query(
-    """WITH ids AS (SELECT DISTINCT id, split_part(id, '.', 2) AS d FROM catalog_tables WHERE id LIKE 'warehouse.%'),
+    """WITH ids AS (SELECT DISTINCT id, CASE WHEN id LIKE 'warehouse.%' THEN split_part(id, '.', 2) END AS d FROM catalog_tables),
 c AS (SELECT * FROM (VALUES ('discover'), ('read'), ('use_in_predicate'), ('execute_metric'), ('disclose')) a(action)),
 p AS (SELECT * FROM (VALUES ('analyst'), ('outsider'), ('restricted')) p(principal))
-SELECT principal, action, id, CASE principal WHEN 'outsider' THEN action = 'discover' AND d = 'support'
+SELECT principal, action, id, coalesce(d IS NOT NULL AND CASE principal WHEN 'outsider' THEN action = 'discover' AND d = 'support'
   WHEN 'analyst' THEN CASE action WHEN 'discover' THEN true WHEN 'execute_metric' THEN true WHEN 'disclose' THEN d = 'commerce' ELSE d IN ('commerce', 'finance') END
-  ELSE CASE action WHEN 'discover' THEN d <> 'finance' WHEN 'execute_metric' THEN d <> 'finance' WHEN 'read' THEN false WHEN 'use_in_predicate' THEN false ELSE false END END AS allowed
-FROM ids, c, p"""
+  ELSE CASE action WHEN 'discover' THEN d <> 'finance' WHEN 'execute_metric' THEN d <> 'finance' WHEN 'read' THEN false WHEN 'use_in_predicate' THEN false ELSE false END END, false) AS allowed
+FROM ids, c, p WHERE id IS NOT NULL"""
 )
 def policy_matrix(spark, folder):
-    return decisions(table(spark, folder, "catalog_tables", "id").filter(F.col("id").startswith("warehouse.")), _policy(), id="id")
+    return decisions(table(spark, folder, "catalog_tables", "id"), _policy(), id="id")
 
 
 _LATEST = "SELECT * FROM {0} QUALIFY row_number() OVER (PARTITION BY snapshot_id, id ORDER BY loaded_at DESC, record_id DESC) = 1"
@@ -649,7 +649,7 @@ def cosine_with_filter(spark, folder):
 
 @query(
     _NEAR + """h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s QUALIFY r <= 20),
-r AS (SELECT h.query_id, h.doc_id, round(CASE WHEN h.label = q.label THEN 1.0 ELSE 0.0 END + h.score / 10, 6) AS score, row_number() OVER (PARTITION BY h.query_id ORDER BY round(CASE WHEN h.label = q.label THEN 1.0 ELSE 0.0 END + h.score / 10, 6) DESC, h.doc_id) AS rank FROM h JOIN v q ON q.vec_id = h.query_id)""" + _TOP + "10"
+r AS (SELECT h.query_id, h.doc_id, round(CASE WHEN h.label = q.label THEN 1.0 ELSE 0.0 END + h.score / 10, 6) AS score, row_number() OVER (PARTITION BY h.query_id ORDER BY round(CASE WHEN h.label = q.label THEN 1.0 ELSE 0.0 END + h.score / 10, 6) DESC, h.doc_id) AS rank FROM h JOIN v q ON q.vec_id = h.query_id) SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10"""
 )
 def reranked_by_label(spark, folder):
     """The best 20 by similarity, ranked again with those of the query's label first."""
@@ -657,7 +657,7 @@ def reranked_by_label(spark, folder):
     hits = retrieval.cosine(vectors, queries, doc_id="vec_id", vector="embedding", k=20)
     labels = vectors.select(F.col("vec_id").alias("doc_id"), "label").join(hits, "doc_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
     scores = labels.select("query_id", "doc_id", F.round(F.when(F.col("label") == F.col("own"), 1.0).otherwise(0.0) + F.col("score") / 10, 6).alias("score"))
-    return _ranked(retrieval.rerank(hits, scores, k=10), 10)
+    return retrieval.rerank(hits, scores, k=10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
