@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeplan.functions.keys import canonical_hash
+from lodeplan.sources.tables import cut
 
 
 def snapshot_order(snapshots: DataFrame, *, state: str = "approved") -> DataFrame:
@@ -44,7 +45,8 @@ def diff_snapshots(rows: DataFrame, order: DataFrame, *, keys: list[str], compar
     k = [f"k{i}" for i in range(len(keys))]
     narrow = rows.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col(snapshot).alias("snap"), F.struct(*latest, canonical_hash(*compare).alias("_hash")).alias("row"))
     steps = order.select(F.col(snapshot).alias("snap"), "ord", "is_last")
-    current = narrow.join(steps, "snap").groupBy(*k, "ord", "is_last").agg(F.max("row")["_hash"].alias("hash"))
+    # Both sides of the join below read it; stored, it is read, hashed and shuffled once.
+    current = cut(narrow.join(steps, "snap").groupBy(*k, "ord", "is_last").agg(F.max("row")["_hash"].alias("hash")))
     later = current.filter("ord > 1").select(*k, "ord", "hash")
     before = current.filter("not is_last").select(*[F.col(n).alias(f"_{n}") for n in k], (F.col("ord") + 1).alias("_ord"), F.col("hash").alias("_hash"))
     on = F.col("ord") == F.col("_ord")
