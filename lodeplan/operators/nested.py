@@ -372,3 +372,17 @@ def flatten_json(records: DataFrame, *, record_id: str, fields: list[str], singl
                     yield from table.combine_chunks().to_batches(max_chunksize=50_000)
 
     return spread(narrow).mapInArrow(work, schema).withColumnRenamed("record_id", record_id)
+
+
+def array_items(nodes: DataFrame, arrays: list[str]) -> DataFrame:
+    """The flat table of what stands in the named arrays: each item with its owner and position.
+
+    ``nodes`` has ``node_path`` as :func:`flatten_json` gives it. Adds ``owner_path``, the object that
+    has the array (null at a field's root), ``array_key`` and ``position``. Objects link by (record,
+    ``owner_path``) to the ``node_path`` of their owner; with repeated keys in one object a path
+    stands for several owners.
+    """
+    pattern = rf"^(?:(.*)\.)?({'|'.join(arrays)})\[(\d+)\]$"
+    part = lambda i: F.regexp_extract("node_path", pattern, i)
+    items = nodes.filter(F.col("node_path").rlike(pattern))
+    return items.withColumns({"owner_path": F.nullif(part(1), F.lit("")), "array_key": part(2), "position": part(3).cast("int")})

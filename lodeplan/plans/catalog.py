@@ -198,6 +198,11 @@ class Catalog:
             found.update(r.ref for r in self.all(kind) if want in map(str.lower, (r.name, r.id, *r.aliases)))
         return sorted(found)
 
+    def longest_term(self) -> int:
+        """Words of the longest name that :meth:`lookup` can find."""
+        names = [n for t in self.all("term") for n in (t.term, *t.synonyms)] + [n for kind in ("metric", "dimension") for r in self.all(kind) for n in (r.name, r.id, *r.aliases)]
+        return max((len(n.split()) for n in names), default=0)
+
 
 def table_of(column: str) -> str:
     return column.rpartition(".")[0]

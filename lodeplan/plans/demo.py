@@ -26,6 +26,7 @@ def _columns(table_id: str, *specs: str) -> list[Column]:
     return out
 
 
+# Ids, versions, members and rule names of the demo catalog, which published answers rest on.
 def catalog(snapshot_id: str = "demo-1") -> Catalog:
     o, h, i = (lambda n: f"{ORDERS}.{n}"), (lambda n: f"{HISTORY}.{n}"), (lambda n: f"{ITEMS}.{n}")
     completed = Compare("eq", Col(o("order_status")), Member(STATUS, "completed"))

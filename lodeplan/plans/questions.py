@@ -15,7 +15,6 @@ from lodeplan.plans.catalog import Catalog
 from lodeplan.plans.errors import Reason, Refused
 from lodeplan.plans.policy import Scope
 
-LONGEST_TERM = 4
 #: How a grain may be asked for.
 GRAIN_WORDS = {"daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year", "annual": "year"}
 
@@ -40,8 +39,9 @@ class Question:
 def named(catalog: Catalog, text: str) -> list[str]:
     """References of all terms in the text, longer terms first; words count for one term only."""
     words, found, i = re.findall(TOKEN, text.lower()), [], 0
+    longest = catalog.longest_term()
     while i < len(words):
-        for n in range(min(LONGEST_TERM, len(words) - i), 0, -1):
+        for n in range(min(longest, len(words) - i), 0, -1):
             refs = catalog.lookup(" ".join(words[i : i + n]))
             if refs:
                 found += [r for r in refs if r not in found]

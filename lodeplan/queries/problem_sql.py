@@ -165,6 +165,11 @@ n AS (
 
 SQL = {
     "p1_found": NODES + " SELECT object_type, record_id, path AS node_path FROM n WHERE json_type(v) = 'OBJECT'",
+    "p1_array_items": NODES
+    + r"""
+SELECT object_type, record_id, nullif(regexp_extract(path, '^(?:(.*)\.)?(predicates|args|members)\[(\d+)\]$', 1), '') AS owner_path, regexp_extract(path, '^(?:(.*)\.)?(predicates|args|members)\[(\d+)\]$', 2) AS array_key,
+  CAST(regexp_extract(path, '^(?:(.*)\.)?(predicates|args|members)\[(\d+)\]$', 3) AS INT) AS position, path AS node_path
+FROM n WHERE json_type(v) = 'OBJECT' AND regexp_matches(path, '^(?:(.*)\.)?(predicates|args|members)\[(\d+)\]$')""",
     "p1_values": NODES
     + """ SELECT object_type, record_id, parent AS parent_path, CASE WHEN parent IS NOT NULL THEN key END AS key, CAST(slot AS INT) AS slot, CASE WHEN json_type(v) = 'VARCHAR' THEN 'string' ELSE 'scalar' END AS kind, CASE WHEN json_type(v) = 'VARCHAR' THEN v ->> '$' ELSE CAST(v AS VARCHAR) END AS value
 FROM n WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')""",

@@ -14,7 +14,7 @@ from lodeplan.functions.periods import utc_month
 from lodeplan.operators.asof import known_as_of, usable
 from lodeplan.operators.history import build_ledger, history
 from lodeplan.operators.intervals import interval_runs
-from lodeplan.operators.nested import flatten_json
+from lodeplan.operators.nested import array_items, flatten_json
 from lodeplan.operators.orphans import OrphanTracker, current_references, key_index
 from lodeplan.operators.snapshots import diff_snapshots, snapshot_order
 from lodeplan.sources.tables import cut, table
@@ -38,6 +38,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(spark, folder, ("object",)).select("object_type", "record_id", "node_path")
 
 
+def p1_array_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The objects in predicates, args and members, linked to the object that owns the array."""
+    items = array_items(_flat(spark, folder, ("object",)), SINGLES)
+    return items.select("object_type", "record_id", "owner_path", "array_key", "position", "node_path")
+
+
 def p1_values(spark: SparkSession, folder: str) -> DataFrame:
     """The table of attributes: strings and scalars with their owner's path."""
     return _flat(spark, folder, ("string", "scalar")).select("object_type", "record_id", "parent_path", "key", "slot", "kind", "value")
@@ -249,4 +255,4 @@ def p6_superseded(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("recorded_to_us").alias("n_superseded"), F.count_distinct("customer_id").alias("n_customers"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_column_references, p2_found, p2_counts, p2_counts_by_field, p3_found, p3_summary, p4_found, p4_regions, p5_found, p5_periods, p6_found, p6_believed, p6_superseded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_array_items, p1_values, p1_column_references, p2_found, p2_counts, p2_counts_by_field, p3_found, p3_summary, p4_found, p4_regions, p5_found, p5_periods, p6_found, p6_believed, p6_superseded)}

@@ -31,11 +31,11 @@ class CardIndex:
         except AnalysisException:
             raise Refused(Reason.VALIDATION_FAILED, f"{snapshot_id} is indexed already") from None
 
-    def _retired(self) -> set[str]:
+    def _retired(self, snapshot_id: str) -> bool:
         try:
-            return {r[0] for r in self.spark.read.text(f"{self.folder}/retired").collect()}
+            return not self.spark.read.text(f"{self.folder}/retired").filter(F.col("value") == snapshot_id).isEmpty()
         except AnalysisException:
-            return set()
+            return False
 
     def retire(self, snapshot_id: str) -> None:
         self.spark.createDataFrame([(snapshot_id,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/retired")
@@ -48,7 +48,7 @@ class CardIndex:
             return False
 
     def read(self, snapshot_id: str) -> DataFrame:
-        if snapshot_id in self._retired():
+        if self._retired(snapshot_id):
             raise Refused(Reason.SNAPSHOT_NOT_READY, f"{snapshot_id} is retired")
         try:
             return self.spark.read.parquet(f"{self.folder}/cards/{snapshot_id}")
