@@ -154,6 +154,8 @@ def _of_hot(left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str],
     as often as the tree is high, and of an event's finds the last recorded is the one.
     """
     most, total = hot.agg(F.max("n"), F.sum("n")).first()
+    # Cells of half a group's rows, so that those which a hash puts together stay near the bound.
+    groups_of, slice_rows = slice_rows, max(1, slice_rows // 2)
     # Each version counts with both its ends, so a slice holds about slice_rows of either kind.
     of_valid = left.select(*keys, F.col("valid").alias("t")).unionByName(right.select(*keys, F.explode(F.array("vf", "vt")).alias("t")))
     of_known = left.select(*keys, F.col("known").alias("t")).unionByName(right.select(*keys, F.col("rec").alias("t")))
@@ -199,7 +201,7 @@ def _of_hot(left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str],
     back = [*keys, *ids, "valid", "known", "times"]
     finds = [*carry, "rec", "of", "vid"]
     schema = T.StructType([asked.schema[c] for c in back] + [given.schema[c] for c in finds])
-    found = _together(asked, given, [*keys, "level", "node", "part"], -(-total * (height + 2) // slice_rows), back, finds, schema)
+    found = _together(asked, given, [*keys, "level", "node", "part"], -(-total * (height + 2) // groups_of), back, finds, schema)
     best = found.groupBy(*back).agg(F.max_by(F.struct(*carry) if carry else F.struct(F.lit(1)), F.struct("rec", "of", "vid")).alias("v"))
     return best.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(*ids, *[F.col(f"v.{c}").alias(c) for c in carry])
 
