@@ -37,6 +37,15 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the characters that lie in containers, and how many of its parts lie in one that is too full."""
+    capacity, _ = limit_of(spark, folder, "container")
+    placed = cut(p7_containers(spark, folder))
+    overfull = placed.groupBy("container_id").agg((F.sum("n_tokens") > capacity).alias("overfull"))
+    parts = placed.join(overfull, "container_id")
+    return parts.groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("covered_chars"), F.sum(F.col("overfull").cast("long")).alias("n_overfull"))
+
+
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     return cut(measured(table(spark, folder, "documents", "doc_id", "source", "text"), doc_id="doc_id", text="text", keep=["source"]))
 
@@ -115,4 +124,4 @@ def p9_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.groupBy("begins_at").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
 
 
-QUERIES = {f.__name__: f for f in (p7_containers, p7_fill, p8_found, p8_shares, p8_targets, p8_within_a_block, p8_block_tokens, p8_drawn, p9_found, p9_pieces, p9_cover, p9_natural, p9_boundaries)}
+QUERIES = {f.__name__: f for f in (p7_containers, p7_fill, p7_cover, p8_found, p8_shares, p8_targets, p8_within_a_block, p8_block_tokens, p8_drawn, p9_found, p9_pieces, p9_cover, p9_natural, p9_boundaries)}
