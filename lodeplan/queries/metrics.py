@@ -649,15 +649,16 @@ def cosine_with_filter(spark, folder):
 
 @query(
     _NEAR + """h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s QUALIFY r <= 20),
-r AS (SELECT h.query_id, h.doc_id, round(CASE WHEN h.label = q.label THEN 1.0 ELSE 0.0 END + h.score / 10, 6) AS score, row_number() OVER (PARTITION BY h.query_id ORDER BY round(CASE WHEN h.label = q.label THEN 1.0 ELSE 0.0 END + h.score / 10, 6) DESC, h.doc_id) AS rank FROM h JOIN v q ON q.vec_id = h.query_id) SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10"""
+r AS (SELECT h.query_id, h.doc_id, row_number() OVER (PARTITION BY h.query_id ORDER BY (h.label = q.label)::INT + h.score DESC, h.doc_id) AS rank FROM h JOIN v q ON q.vec_id = h.query_id)
+SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10"""
 )
 def reranked_by_label(spark, folder):
     """The best 20 by similarity, ranked again with those of the query's label first."""
     vectors, queries = _vectors(spark, folder)
     hits = retrieval.cosine(vectors, queries, doc_id="vec_id", vector="embedding", k=20)
     labels = vectors.select(F.col("vec_id").alias("doc_id"), "label").join(hits, "doc_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    scores = labels.select("query_id", "doc_id", F.round(F.when(F.col("label") == F.col("own"), 1.0).otherwise(0.0) + F.col("score") / 10, 6).alias("score"))
-    return retrieval.rerank(hits, scores, k=10).withColumn("rank", F.col("rank").cast("long"))
+    scores = labels.select("query_id", "doc_id", ((F.col("label") == F.col("own")).cast("int") + F.col("score")).alias("score"))
+    return retrieval.rerank(hits, scores, k=10).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
