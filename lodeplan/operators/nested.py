@@ -14,7 +14,6 @@ are well formed. Texts that aren't JSON yield nothing.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +40,7 @@ _ESCAPES = np.zeros(256, bool)
 _ESCAPES[list(b'"\\/bfnrtu')] = True
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdefABCDEF")] = True
-_SCALAR = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+_SCALAR = r"\A(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)\z"
 
 
 def _allowed() -> np.ndarray:
@@ -88,34 +87,37 @@ class Nodes:
 def index(data: np.ndarray, offsets: np.ndarray) -> Nodes:
     """The structural index of the texts ``data[offsets[i]:offsets[i + 1]]`` that are valid JSON."""
     n_texts, size = len(offsets) - 1, len(data)
-    position = np.arange(size)
-    text_of = np.repeat(np.arange(n_texts), np.diff(offsets))
-    begin_of = offsets[:-1][text_of]
+    edge = np.zeros(size + 1, bool)
+    edge[offsets] = True
 
-    # Bitmaps: escaped quotes are those after an odd run of backslashes within the text.
-    slash = data == 0x5C
-    plain_before = np.maximum.accumulate(np.where(slash, -1, position)) if size else position
+    def text_at(positions: np.ndarray) -> np.ndarray:
+        return np.searchsorted(offsets, positions, "right") - 1
+
+    # Bitmaps, a byte or less per byte of text. A slash escapes if an even number of its run stand before it.
+    slashes = np.flatnonzero(data == 0x5C)
+    ordinal = np.arange(len(slashes))
+    run = np.append(True, np.diff(slashes) > 1) | edge[slashes] if len(slashes) else np.zeros(0, bool)
+    escaping = slashes[(ordinal - np.maximum.accumulate(np.where(run, ordinal, 0))) % 2 == 0] if len(slashes) else slashes
     quote = data == 0x22
-    q = np.flatnonzero(quote)
-    run = q - 1 - np.maximum(np.where(q > 0, plain_before[np.maximum(q - 1, 0)], -1), begin_of[q] - 1)
-    q = q[run % 2 == 0]
-    quote = np.zeros(size, bool)
-    quote[q] = True
-    total = np.concatenate([[0], np.cumsum(quote)])
-    inside = ((total[1:] - total[begin_of]) & 1).astype(bool)  # from the opening quote on, without the closing one
-    kind = np.where(inside, -1, _KIND[data])
-    opening = quote & inside
-    kind[opening] = STRING
-    blank = ~inside & ~quote & (kind < 0)
-    word = blank & ~_SPACE[data]
-    first = word.copy()
-    first[1:] &= ~word[:-1] | (text_of[1:] != text_of[:-1])
+    escaped = escaping + 1
+    quote[escaped[~edge[escaped]]] = False
+    before = np.searchsorted(np.flatnonzero(quote), offsets)
+    inside = (np.cumsum(quote, dtype=np.uint8) & 1).astype(bool)  # from the opening quote on, without the closing one
+    if (before & 1).any():
+        inside ^= np.repeat((before[:-1] & 1).astype(bool), np.diff(offsets))
+    kind = _KIND[data]
+    kind[inside] = -1
+    word = ~inside & ~quote & (kind < 0) & ~_SPACE[data]
+    kind[quote & inside] = STRING
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1] | edge[1:size]
+    last[:-1] &= ~word[1:] | edge[1:size]
     kind[first] = NAME
 
     at = np.flatnonzero(kind >= 0)
-    kind, text = kind[at], text_of[at]
-    valid = np.bincount(text, minlength=n_texts) > 0
-    valid &= (total[offsets[1:]] - total[offsets[:-1]]) % 2 == 0
+    tokens = np.diff(np.searchsorted(at, offsets))
+    kind, text = kind[at], np.repeat(np.arange(n_texts), tokens)
+    valid = (tokens > 0) & (np.diff(before) % 2 == 0)
 
     def check(texts: np.ndarray) -> None:
         valid[texts] = False
@@ -144,47 +146,39 @@ def index(data: np.ndarray, offsets: np.ndarray) -> Nodes:
     container[by_level] = np.where(level[by_level] > 0, by_level[np.maximum(latest, 0)], -1)
     # An opening token itself is a member of what surrounds the token before it.
     first_token = starts(text)
-    before = np.arange(n) - 1
+    prior = np.arange(n) - 1
     surrounding = container.copy()
     o = np.flatnonzero(is_open)
-    surrounding[o] = np.where(first_token[o], -1, container[before[o]])
+    surrounding[o] = np.where(first_token[o], -1, container[prior[o]])
     of = np.where(surrounding < 0, 0, np.where(kind[surrounding] == OPEN_OBJECT, 1, 2)) if n else surrounding
 
     # Grammar: each token against the one before it.
-    previous = np.where(first_token, 8, kind[before]) if n else kind
+    previous = np.where(first_token, 8, kind[prior]) if n else kind
     is_key = (kind == STRING) & (of == 1) & ((previous == OPEN_OBJECT) | (previous == COMMA))
     named = np.where(is_key, 9, kind)
-    previous = np.where(first_token, 8, named[before]) if n else named
+    previous = np.where(first_token, 8, named[prior]) if n else named
     check(text[~_MAY[of, previous, named]])
     last_token = np.append(first_token[1:], True) if n else first_token
     check(text[last_token & ~_MAY[0, named, 8]])
     check(text[last_token & (np.where(is_close, level - 1, level) != 0)])
 
     # Strings: no control characters, known escapes. Names: numbers, true, false, null.
-    check(text_of[inside & (data < 0x20)])
-    s = np.flatnonzero(slash & inside)
-    run = s - np.maximum(np.where(s > 0, plain_before[np.maximum(s - 1, 0)], -1), begin_of[s] - 1)
-    s = s[run % 2 == 1]  # the slashes that begin an escape
+    check(text_at(np.flatnonzero(inside & (data < 0x20))))
+    s = escaping[inside[escaping]]
     follows = data[np.minimum(s + 1, size - 1)] if size else s
-    check(text_of[s[~_ESCAPES[follows]]])
+    check(text_at(s[~_ESCAPES[follows]]))
     u = s[follows == ord("u")]
     for step in range(2, 6):
-        check(text_of[u[(u + step >= size) | ~_HEX[data[np.minimum(u + step, size - 1)]]]])
+        check(text_at(u[(u + step >= size) | ~_HEX[data[np.minimum(u + step, size - 1)]]]))
     end = at + 1
     strings = kind == STRING
     closing = np.flatnonzero(quote & ~inside)
     end[strings] = closing[np.searchsorted(closing, at[strings])] + 1 if len(closing) else at[strings] + 1
     names = np.flatnonzero(kind == NAME)
-    stops = np.flatnonzero(np.concatenate([~word[1:] | (text_of[1:] != text_of[:-1]), [True]])) if size else position
-    end[names] = stops[np.searchsorted(stops, at[names])] + 1
-    raw = data.tobytes()
-    known: dict[bytes, bool] = {}
-    for i in names.tolist():
-        span = raw[at[i] : end[i]]
-        if span not in known:
-            known[span] = _SCALAR.fullmatch(span) is not None
-        if not known[span]:
-            valid[text[i]] = False
+    stops = np.flatnonzero(last)
+    end[names] = stops[np.searchsorted(stops, at[names])] + 1 if len(names) else at[names] + 1
+    plain = pc.match_substring_regex(_spans(data, at[names], end[names]), _SCALAR)
+    check(text[names[~plain.to_numpy(zero_copy_only=False)]])
 
     # Values of valid texts become nodes; brackets are matched through their container.
     closes = np.flatnonzero(is_close)
@@ -210,15 +204,28 @@ def _unescaped(span: bytes) -> str:
     return json.loads(span).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def _spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of spans that don't overlap, given in any order."""
+    order = np.argsort(begin, kind="stable")
+    step = np.zeros(len(data) + 1, np.int8)
+    step[begin] += 1
+    step[end] -= 1
+    content = data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
+    edges = np.concatenate([[0], np.cumsum((end - begin)[order])]).astype(np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(edges), pa.py_buffer(content)]).take(pa.array(place))
+
+
 def _strings(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The contents of quoted spans, escapes resolved."""
-    raw, out, seen = data.tobytes(), [], {}
-    for a, b in zip(begin.tolist(), end.tolist()):
-        span = raw[a:b]
-        if span not in seen:
-            seen[span] = _unescaped(span) if b"\\" in span else span[1:-1].decode()
-        out.append(seen[span])
-    return pa.array(out, pa.string())
+    """The contents of quoted spans, escapes resolved; only spans with escapes are looked at one by one."""
+    out = _spans(data, begin + 1, end - 1).cast(pa.large_string())
+    escapes = pc.match_substring(out, "\\")
+    texts = out.filter(escapes).dictionary_encode()
+    if len(texts):
+        plain = pa.array([_unescaped(b'"' + t.encode() + b'"') for t in texts.dictionary.to_pylist()], pa.large_string())
+        out = pc.replace_with_mask(out, escapes, plain.take(texts.indices))
+    return out.cast(pa.string())
 
 
 KINDS = ("object", "array", "string", "scalar")
@@ -293,10 +300,10 @@ def flatten_batch(texts: pa.Array, names: list[str], *, singles: frozenset[str],
         node = order[picked]
         values = pa.nulls(len(node), pa.string())
         if kinds & {2, 3}:
-            raw, is_string = data.tobytes(), nodes.kind[node] == 2
+            is_string = nodes.kind[node] == 2
             own, rest = node[is_string], node[nodes.kind[node] == 3]
             values = pc.replace_with_mask(values, pa.array(is_string), _strings(data, nodes.begin[own], nodes.end[own]))
-            names_of = pa.array([raw[x:y].decode() for x, y in zip(nodes.begin[rest].tolist(), nodes.end[rest].tolist())], pa.string())
+            names_of = _spans(data, nodes.begin[rest], nodes.end[rest]).cast(pa.large_string()).cast(pa.string())
             values = pc.replace_with_mask(values, pa.array(nodes.kind[node] == 3), names_of)
         text_root = root[node]
         out.append(
@@ -307,7 +314,7 @@ def flatten_batch(texts: pa.Array, names: list[str], *, singles: frozenset[str],
                     "parent_path": parent_path.take(pa.array(picked)),
                     "key": pc.if_else(pa.array(text_root), key0.take(pa.array(nodes.text[node])), keys.take(pa.array(node))),
                     "slot": pc.if_else(pa.array(text_root), slot0.take(pa.array(nodes.text[node])), pa.array(nodes.slot[node].astype(np.int32))),
-                    "kind": pa.array([KINDS[x] for x in nodes.kind[node].tolist()], pa.string()),
+                    "kind": pa.array(KINDS).take(pa.array(nodes.kind[node])),
                     "value": values,
                 }
             )
