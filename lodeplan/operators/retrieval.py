@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +21,8 @@ from lodeplan.sources.tables import cut, spread
 
 K1, B = 1.5, 0.75
 FUSION = 60
-#: Vectors compared with one another in one go.
-BLOCK = 2048
+#: Vectors of either side that meet in one task, and queries multiplied at once.
+BLOCK, STRIP = 16384, 512
 
 
 def visible(objects: DataFrame, denied: DataFrame, *, id: str) -> DataFrame:
@@ -107,14 +108,40 @@ def usable_vectors(vectors: DataFrame, *, vector: str, size: int) -> DataFrame:
     return vectors.filter((F.size(vector) == size) & finite & F.exists(vector, lambda x: x != 0))
 
 
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one size as the rows of a matrix, each of length one; zero vectors stay zero."""
+    rows = column.combine_chunks()
+    sizes = pc.list_value_length(rows).unique()
+    if len(sizes) != 1:
+        raise ValueError(f"vectors of different sizes: {sorted(sizes.to_pylist())}")
+    m = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), sizes[0].as_py())
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms == 0, 1.0, norms)
+
+
+def _best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` greatest scores, of equal ones those of the lowest columns; NaN is none."""
+    n, scores = scores.shape[1], np.where(np.isnan(scores), -np.inf, scores)
+    least = scores.min(axis=1) if n <= k else np.partition(scores, n - k, axis=1)[:, n - k]
+    rows, columns = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    order = np.lexsort((columns, -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], columns[place < k]
+
+
 def cosine(vectors: DataFrame, queries: DataFrame, *, doc_id: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
     """Exact nearest neighbours of a stated query set: ``queries`` has (query_id, vector).
 
     Both sides are cut into blocks by hash; every block of documents meets every block of queries
-    in one task, which multiplies two matrices and keeps the best k per query, so what is shuffled
-    afterwards is k rows per query and document block. Rows without a vector aren't ranked.
+    in one task, which multiplies them a strip of queries at a time and keeps the best k per query,
+    so what is shuffled afterwards is k rows per query and document block. A vector is copied once
+    per block of the other side. Blocks of documents are smaller than ``block`` where there would
+    be fewer than cores. Rows without a vector, or with NaN or an infinite number in it, aren't
+    ranked; vectors must be of one size.
     """
-    doc_blocks = max(1, -(-vectors.count() // block))
+    n_docs, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    doc_blocks = max(1, -(-n_docs // max(1, min(block, max(STRIP, n_docs // cores)))))
     query_blocks = max(1, -(-queries.count() // block))
     left = vectors.filter(F.col(vector).isNotNull()).select(F.col(doc_id).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(doc_id), F.lit(doc_blocks)).alias("d"))
     left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
@@ -122,19 +149,16 @@ def cosine(vectors: DataFrame, queries: DataFrame, *, doc_id: str, vector: str,
     right = right.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(doc_blocks - 1)))).withColumn("d", F.col("d").cast("long"))
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", vectors.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        m = np.array(column.to_pylist(), np.float64)
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norms == 0, 1.0, norms)
-
     def best(docs: pa.Table, asks: pa.Table) -> pa.Table:
-        if not docs.num_rows or not asks.num_rows:
-            return pa.table({"query_id": asks["id"].slice(0, 0), "doc_id": docs["id"].slice(0, 0), "score": pa.array([], pa.float64())})
-        docs = docs.combine_chunks().sort_by("id")
-        scores = np.round(matrix(asks["v"]) @ matrix(docs["v"]).T, 6)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(scores)), order.shape[1])
-        return pa.table({"query_id": asks["id"].take(pa.array(rows)), "doc_id": docs["id"].take(pa.array(order.ravel())), "score": pa.array(scores[rows, order.ravel()])})
+        found = [pa.table({"query_id": asks["id"].slice(0, 0), "doc_id": docs["id"].slice(0, 0), "score": pa.array([], pa.float64())})]
+        if docs.num_rows and asks.num_rows:
+            docs = docs.combine_chunks().sort_by("id")
+            against, given = _unit_rows(docs["v"]).T, _unit_rows(asks["v"])
+            for at in range(0, len(given), STRIP):
+                scores = np.round(given[at : at + STRIP] @ against, 6)
+                rows, columns = _best_columns(scores, k)
+                found.append(pa.table({"query_id": asks["id"].take(pa.array(rows + at)), "doc_id": docs["id"].take(pa.array(columns)), "score": pa.array(scores[rows, columns])}))
+        return pa.concat_tables(found)
 
     return top(left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInArrow(best, schema), k)
 

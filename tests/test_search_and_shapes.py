@@ -57,6 +57,10 @@ def test_cosine(spark, block):
         want = sorted(scores, key=lambda i: (-scores[i], i))[:5]
         assert [r.doc_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
     assert {r.query_id for r in got} == {0, 10, 20, 30, 50, 60}
+    odd = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)] + [(20, [float("nan"), 1.0]), (21, [float("inf"), 1.0])], "vec_id long, v array<double>")
+    asked = odd.filter("vec_id in (1, 20)").selectExpr("vec_id as query_id", "v as vector")
+    ranked = retrieval.cosine(odd, asked, doc_id="vec_id", vector="v", k=9, block=block).collect()
+    assert {(r.query_id, r.doc_id) for r in ranked} == {(1, i) for i in range(9)}
     bad = spark.createDataFrame([(1, [1.0, float("nan")]), (2, [0.0, 0.0]), (3, [1.0, 2.0]), (4, [1.0]), (5, None), (6, [float("inf"), 1.0])], "i int, v array<double>")
     assert [r.i for r in retrieval.usable_vectors(bad, vector="v", size=2).collect()] == [3]
 
