@@ -96,6 +96,63 @@ def unresolved(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def mentions(values: DataFrame, owners: dict[str, DataFrame]) -> DataFrame:
+    """(check, snapshot_id, id, ref, target) of columns and tables that nested texts name.
+
+    ``values``: the strings of the nested texts (see :func:`lodeplan.operators.nested.flatten_json`) with
+    ``object_type``; ``owners``: per object type the records (record_id, snapshot_id, id). Named are
+    columns by column_ref in metrics and rules and by left_column and right_column in relationships,
+    tables by required_tables in a rule's effect.
+    """
+    records = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("object_type"), "record_id", "snapshot_id", "id") for kind, df in owners.items()])
+    column = ((F.col("object_type") == "relationship") & F.col("key").isin("left_column", "right_column")) | ((F.col("object_type") != "relationship") & (F.col("key") == "column_ref"))
+    required = (F.col("object_type") == "rule") & (F.col("parent_path") == "effect.required_tables") & F.col("key").isNull()
+    named = values.withColumn("target", F.when(column, "column").when(required, "table")).dropna(subset=["target"])
+    check = F.concat("object_type", F.lit("."), F.coalesce("key", F.lit("required_tables")))
+    return named.join(records, ["object_type", "record_id"]).select(check.alias("check"), "snapshot_id", "id", F.lower(F.trim("value")).alias("ref"), "target")
+
+
+def table_mentions(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(check, snapshot_id, id, ref, target): the columns of grains and keys, the tables of columns."""
+    keyed = [tables.select(F.lit(f"table.{c}").alias("check"), "snapshot_id", "id", F.explode(c).alias("ref"), F.lit("column").alias("target")) for c in ("grain", "primary_key")]
+    owned = columns.select(F.lit("column.table_id").alias("check"), "snapshot_id", "id", F.col("table_id").alias("ref"), F.lit("table").alias("target"))
+    return reduce(DataFrame.unionByName, [*keyed, owned]).withColumn("ref", F.lower(F.trim("ref")))
+
+
+def unresolved_mentions(named: DataFrame, targets: DataFrame) -> DataFrame:
+    """(check, snapshot_id, id, ref): what is named but isn't in its snapshot, each once.
+
+    ``named``: (check, snapshot_id, id, ref, target); ``targets``: (target, snapshot_id, ref). All checks
+    go through one join. A null or empty reference is none.
+    """
+    return named.filter(F.col("ref") != "").distinct().join(targets.distinct(), ["target", "snapshot_id", "ref"], "left_anti").select("check", "snapshot_id", "id", "ref")
+
+
+#: What a physical name may look like, and the comparisons that order two columns.
+IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
+ORDERINGS = ("lt", "lte", "gt", "gte", "lt_or_null")
+
+
+def invalid_records(tables: DataFrame, columns: DataFrame, relationships: DataFrame, values: DataFrame) -> DataFrame:
+    """(check, snapshot_id, record_id): records that contradict themselves.
+
+    column.parent: the table isn't what stands before the last dot of the id, or is null.
+    table.identifier: a part of the physical name is null or no plain identifier.
+    table.key_of_other_table: grain or key has a column of another table.
+    relationship.not_temporal: temporal, but no predicate compares by order. ``values``: as in :func:`mentions`.
+    """
+    before_dot = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\.[^.]*$", "")
+    parent = columns.filter(~before_dot(F.col("id")).eqNullSafe(F.lower(F.trim("table_id"))))
+    plain = [F.coalesce(F.col(f"physical.{c}").rlike(IDENTIFIER), F.lit(False)) for c in ("database", "schema_name", "name")]
+    unsafe = tables.filter(~(plain[0] & plain[1] & plain[2]))
+    others = F.exists(F.concat(F.coalesce("grain", F.array()), F.coalesce("primary_key", F.array())), lambda c: before_dot(c) != F.lower(F.trim("id")))
+    foreign = tables.filter(others)
+    ordered = values.filter((F.col("object_type") == "relationship") & (F.col("key") == "op") & F.lower("value").isin(*ORDERINGS)).select("record_id").distinct()
+    timeless = relationships.filter("is_temporal").join(ordered, "record_id", "left_anti")
+    found = {"column.parent": parent, "table.identifier": unsafe, "table.key_of_other_table": foreign, "relationship.not_temporal": timeless}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(check).alias("check"), "snapshot_id", "record_id") for check, df in found.items()])
+
+
 def column_cards(columns: DataFrame) -> DataFrame:
     """(snapshot_id, id, object_type, table_id, domain, access_scope, title, content) of columns."""
     rows = latest(columns, "table_id", "domain", "access_scope", "name", "data_type", "synonyms", "unit", "classification")

@@ -379,6 +379,43 @@ def publication_errors(spark, folder):
     return catalogs.unresolved([("relationship.left_table", refs("catalog_relationships", "left_table"), tables), ("relationship.right_table", refs("catalog_relationships", "right_table"), tables), ("metric.base_table", refs("catalog_metrics", "base_table"), tables), ("table.tenant_key", refs("catalog_tables", "tenant_key"), ids("catalog_columns"))])
 
 
+@query(
+    NODES
+    + """, owners AS (SELECT 'metric' AS object_type, record_id, snapshot_id, id FROM catalog_metrics UNION ALL SELECT 'rule', record_id, snapshot_id, id FROM catalog_rules UNION ALL SELECT 'relationship', record_id, snapshot_id, id FROM catalog_relationships),
+named AS (
+  SELECT object_type || '.' || coalesce(key, 'required_tables') AS "check", snapshot_id, id, lower(trim(v ->> '$')) AS ref, CASE WHEN key IS NULL THEN 'table' ELSE 'column' END AS target
+  FROM n JOIN owners USING (object_type, record_id)
+  WHERE json_type(v) = 'VARCHAR' AND ((object_type = 'relationship' AND key IN ('left_column', 'right_column')) OR (object_type <> 'relationship' AND key = 'column_ref') OR (object_type = 'rule' AND key IS NULL AND parent = 'effect.required_tables'))
+  UNION ALL SELECT 'table.grain', snapshot_id, id, lower(trim(unnest(grain))), 'column' FROM catalog_tables
+  UNION ALL SELECT 'table.primary_key', snapshot_id, id, lower(trim(unnest(primary_key))), 'column' FROM catalog_tables
+  UNION ALL SELECT 'column.table_id', snapshot_id, id, lower(trim(table_id)), 'table' FROM catalog_columns),
+held AS (SELECT 'column' AS target, snapshot_id, id AS ref FROM catalog_columns UNION SELECT 'table', snapshot_id, id FROM catalog_tables)
+SELECT DISTINCT "check", snapshot_id, id, ref FROM named LEFT JOIN held USING (target, snapshot_id, ref) WHERE ref <> '' AND held.target IS NULL"""
+)
+def publication_errors_nested(spark, folder):
+    """Columns and tables that nested texts, grains, keys and columns name and their snapshot lacks."""
+    tables, columns = table(spark, folder, "catalog_tables"), table(spark, folder, "catalog_columns", "snapshot_id", "id", "table_id")
+    owners = {"metric": table(spark, folder, "catalog_metrics"), "rule": table(spark, folder, "catalog_rules"), "relationship": table(spark, folder, "catalog_relationships")}
+    named = catalogs.mentions(_flat(spark, folder, ("string",)), owners).unionByName(catalogs.table_mentions(tables, columns))
+    targets = [df.select(F.lit(kind).alias("target"), "snapshot_id", F.col("id").alias("ref")) for kind, df in (("column", columns), ("table", tables))]
+    return catalogs.unresolved_mentions(named, targets[0].unionByName(targets[1]))
+
+
+@query(
+    NODES
+    + f""", bad AS (
+  SELECT 'column.parent' AS "check", snapshot_id, record_id FROM catalog_columns WHERE regexp_replace(lower(trim(id)), '\\.[^.]*$', '') IS DISTINCT FROM lower(trim(table_id))
+  UNION ALL SELECT 'table.identifier', snapshot_id, record_id FROM catalog_tables WHERE NOT coalesce(regexp_matches(physical.database, '{catalogs.IDENTIFIER}') AND regexp_matches(physical.schema_name, '{catalogs.IDENTIFIER}') AND regexp_matches(physical.name, '{catalogs.IDENTIFIER}'), false)
+  UNION ALL SELECT 'table.key_of_other_table', snapshot_id, record_id FROM catalog_tables WHERE len(list_filter(list_concat(coalesce(grain, []), coalesce(primary_key, [])), lambda c: regexp_replace(lower(trim(c)), '\\.[^.]*$', '') <> lower(trim(id)))) > 0
+  UNION ALL SELECT 'relationship.not_temporal', snapshot_id, record_id FROM catalog_relationships WHERE is_temporal AND record_id NOT IN (SELECT record_id FROM n WHERE object_type = 'relationship' AND key = 'op' AND json_type(v) = 'VARCHAR' AND lower(v ->> '$') IN {catalogs.ORDERINGS}))
+SELECT * FROM bad"""
+)
+def record_errors(spark, folder):
+    """Catalog records that contradict themselves."""
+    read = lambda name: table(spark, folder, name)
+    return catalogs.invalid_records(read("catalog_tables"), read("catalog_columns"), read("catalog_relationships"), _flat(spark, folder, ("string",)))
+
+
 _CLOSURE = (
     NODES
     + """, named AS (
