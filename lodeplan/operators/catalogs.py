@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeplan.functions.text import short_id
+from lodeplan.sources.tables import cut
 
 PINNED = ["snapshot_id", "id", "version"]
 
@@ -128,6 +129,33 @@ def unresolved_mentions(named: DataFrame, targets: DataFrame) -> DataFrame:
     return named.filter(F.col("ref") != "").distinct().join(targets.distinct(), ["target", "snapshot_id", "ref"], "left_anti").select("check", "snapshot_id", "id", "ref")
 
 
+def dependency_levels(metrics: DataFrame) -> DataFrame:
+    """(snapshot_id, ref, level, cyclic): how deep metrics are built from other metrics, for all snapshots at once.
+
+    ``ref`` is id@version; a metric without metric dependencies in its snapshot has level 0, any other
+    one more than its highest dependency. Metrics that reach a cycle are cyclic and have no level.
+    A round drops the edges to metrics that have none left; the edges that remain are stored, so
+    their lineage is one read, and as many rounds run as levels exist. Dependencies on tables, relationships,
+    absent metrics and null ones don't count; repeated deliveries give the union of their edges.
+    """
+    ref = F.lower(F.concat(F.trim("id"), F.lit("@"), F.col("version").cast("string"))).alias("ref")
+    nodes = metrics.select("snapshot_id", ref).dropna().distinct()
+    edges = metrics.select("snapshot_id", ref, F.explode("dependency_refs").alias("on")).select("snapshot_id", "ref", F.lower(F.trim("on")).alias("on")).dropna().distinct()
+    left = cut(edges.join(nodes.withColumnRenamed("ref", "on"), ["snapshot_id", "on"], "left_semi").select("snapshot_id", "ref", "on"))
+    rounds, n = [left.select("snapshot_id", "ref")], left.count()
+    while n:
+        left = cut(left.join(left.select("snapshot_id", F.col("ref").alias("on")).distinct(), ["snapshot_id", "on"], "left_semi").select("snapshot_id", "ref", "on"))
+        before, n = n, left.count()
+        if n == before:
+            break
+        rounds.append(left.select("snapshot_id", "ref"))
+    # A metric stands in as many rounds as it has levels below it; those of the last edges never left.
+    seen = reduce(DataFrame.unionByName, [df.distinct().withColumn("stuck", F.lit(False)) for df in rounds] + [left.select("snapshot_id", "ref").distinct().withColumn("stuck", F.lit(True))])
+    levels = seen.groupBy("snapshot_id", "ref").agg(F.sum((~F.col("stuck")).cast("int")).cast("int").alias("level"), F.max("stuck").alias("cyclic"))
+    joined = nodes.join(levels, ["snapshot_id", "ref"], "left")
+    return joined.select("snapshot_id", "ref", F.when(F.coalesce("cyclic", F.lit(False)), F.lit(None)).otherwise(F.coalesce("level", F.lit(0))).cast("int").alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
 #: What a physical name may look like, and the comparisons that order two columns.
 IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
 ORDERINGS = ("lt", "lte", "gt", "gte", "lt_or_null")

@@ -416,6 +416,18 @@ def record_errors(spark, folder):
     return catalogs.invalid_records(read("catalog_tables"), read("catalog_columns"), read("catalog_relationships"), _flat(spark, folder, ("string",)))
 
 
+@query(
+    """WITH RECURSIVE nodes AS (SELECT DISTINCT snapshot_id, lower(trim(id) || '@' || version) AS ref FROM catalog_metrics),
+named AS (SELECT DISTINCT snapshot_id, ref, lower(trim(d)) AS "on" FROM (SELECT snapshot_id, lower(trim(id) || '@' || version) AS ref, unnest(dependency_refs) AS d FROM catalog_metrics)),
+edges AS (SELECT e.* FROM named e SEMI JOIN nodes n ON e.snapshot_id = n.snapshot_id AND e."on" = n.ref),
+paths AS (SELECT snapshot_id, ref, 0 AS l FROM nodes UNION SELECT e.snapshot_id, e.ref, l + 1 FROM paths p JOIN edges e ON e.snapshot_id = p.snapshot_id AND e."on" = p.ref WHERE l <= (SELECT count(*) FROM edges))
+SELECT snapshot_id, ref, CASE WHEN max(l) <= (SELECT count(*) FROM edges) THEN max(l) END AS level, max(l) > (SELECT count(*) FROM edges) AS cyclic FROM paths WHERE ref IS NOT NULL AND snapshot_id IS NOT NULL GROUP BY ALL"""
+)
+def metric_levels(spark, folder):
+    """How deep metrics are built from metrics, and whether in a circle."""
+    return catalogs.dependency_levels(table(spark, folder, "catalog_metrics", "snapshot_id", "id", "version", "dependency_refs"))
+
+
 _CLOSURE = (
     NODES
     + """, named AS (

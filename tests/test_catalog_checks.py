@@ -59,3 +59,21 @@ def test_mentions(spark):
         ("table.primary_key", "s", "d.u", "d.u.gone"),
     ]
     assert catalogs.unresolved_mentions(named.limit(0), held).count() == 0
+
+
+def test_levels_and_cycles(spark):
+    rows = [("a", ["b@1", " C@1 ", "t@1"]), ("b", ["c@1", None]), ("c", None), ("c", []), ("x", ["y@1"]), ("y", ["z@1"]), ("z", ["y@1", "a@1"]), ("self", ["self@1"]), (None, ["a@1"])]
+    rows = [("s", i, 1, d) for i, d in rows] + [("other", "a", 1, ["b@1"]), ("other", "b", None, ["a@1"]), (None, "a", 1, ["a@1"])]
+    metrics = spark.createDataFrame(rows, "snapshot_id string, id string, version int, dependency_refs array<string>")
+    got = {(r.snapshot_id, r.ref): (r.level, r.cyclic) for r in catalogs.dependency_levels(metrics).collect()}
+    assert got == {
+        ("s", "a@1"): (2, False),
+        ("s", "b@1"): (1, False),
+        ("s", "c@1"): (0, False),
+        ("s", "x@1"): (None, True),
+        ("s", "y@1"): (None, True),
+        ("s", "z@1"): (None, True),
+        ("s", "self@1"): (None, True),
+        ("other", "a@1"): (0, False),
+    }
+    assert catalogs.dependency_levels(metrics.limit(0)).count() == 0
