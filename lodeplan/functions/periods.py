@@ -22,6 +22,15 @@ def bucket(at: Column, grain: str, zone: str = "UTC") -> Column:
     return F.date_trunc(grain, local)
 
 
+def fiscal_bucket(at: Column, grain: str, first_month: int, zone: str = "UTC") -> Column:
+    """First day of the fiscal quarter or year ``at`` falls in, by the zone's clock, for years that
+    begin on the first of ``first_month``; null for null."""
+    if grain not in ("quarter", "year") or not 1 <= first_month <= 12:
+        raise Refused(Reason.UNSUPPORTED_CAPABILITY, f"fiscal {grain!r} from month {first_month}")
+    local = at if zone == "UTC" else F.from_utc_timestamp(at, zone)
+    return F.add_months(F.trunc(F.add_months(local, 1 - first_month), grain), first_month - 1)
+
+
 def within(at: Column, start: Column, end: Column) -> Column:
     """Half-open period: start <= at < end."""
     return (at >= start) & (at < end)

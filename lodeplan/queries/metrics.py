@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeplan.functions.expressions import Aggregate, Bool, Col, Compare, Context, In, IsNull, Lit, Member, Param, Ratio
-from lodeplan.functions.periods import bucket, valid_at
+from lodeplan.functions.periods import bucket, fiscal_bucket, valid_at
 from lodeplan.functions.text import excerpt, short_id, tokens
 from lodeplan.operators import analytics, catalogs, retrieval
 from lodeplan.plans import demo
@@ -18,7 +18,8 @@ from lodeplan.plans.frames import attestations
 from lodeplan.plans.policy import Policy, Principal, decisions
 from lodeplan.queries.problem_sql import NODES
 from lodeplan.queries.problems import _flat
-from lodeplan.sources.tables import table
+from lodeplan.sources.cards import CardIndex
+from lodeplan.sources.tables import read_csv, scratch, table, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -276,6 +277,21 @@ def bucket_new_york(spark, folder):
     return table(spark, folder, "commerce_orders", "ordered_at").groupBy(bucket(F.col("ordered_at"), "day", "America/New_York").cast("date").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT tenant_id, CAST(date_trunc('quarter', (ordered_at AT TIME ZONE 'UTC') - INTERVAL 1 MONTH) + INTERVAL 1 MONTH AS DATE) AS bucket, count(*) AS n FROM commerce_orders GROUP BY ALL")
+def bucket_fiscal_quarter(spark, folder):
+    """Quarters of years that begin in February."""
+    return table(spark, folder, "commerce_orders", "tenant_id", "ordered_at").groupBy("tenant_id", fiscal_bucket(F.col("ordered_at"), "quarter", 2).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT update_id, tenant_id, customer_id, op, epoch_us(changed_at) AS changed_us, region_name, is_internal, is_test_customer, epoch_us(received_at) AS received_us FROM customer_updates")
+def csv_round_trip(spark, folder):
+    """Rows written as CSV to the shared folder and read back."""
+    updates, path = table(spark, folder, "customer_updates"), scratch(spark, "csv")
+    write_csv(updates, path)
+    back = read_csv(spark, path, updates.schema)
+    return back.select("update_id", "tenant_id", "customer_id", "op", F.unix_micros("changed_at").alias("changed_us"), "region_name", "is_internal", "is_test_customer", F.unix_micros("received_at").alias("received_us"))
+
+
 # Joins and guards against multiplying rows.
 
 
@@ -501,6 +517,16 @@ def _cards(spark: SparkSession, folder: str) -> DataFrame:
     return catalogs.cards(t("catalog_tables"), t("catalog_columns"), t("catalog_metrics"), t("catalog_relationships"))
 
 
+@query(
+    " UNION ALL ".join(f"SELECT '{kind}' AS object_type, count(DISTINCT id) AS n FROM catalog_{kind}s WHERE snapshot_id = 'year-end'" for kind in ("table", "column", "metric", "relationship"))
+)
+def indexed_cards(spark, folder):
+    """The cards of one snapshot as its index on shared storage serves them."""
+    index = CardIndex(spark, scratch(spark, "index"))
+    index.index(_cards(spark, folder), "year-end")
+    return index.read("year-end").groupBy("object_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     f"""SELECT object_type, domain, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars, count(DISTINCT chunk_id) AS chunks FROM (
 SELECT 'table' AS object_type, domain, concat_ws(' ', 'table', name, domain, array_to_string(tags, ' ')) AS content, left(sha256(concat_ws('|', snapshot_id, 'table', id)), 10) AS chunk_id FROM ({_LATEST.format('catalog_tables')})

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -89,3 +90,21 @@ def spread(df: DataFrame) -> DataFrame:
     if size >= cores * partition_bytes or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """``df`` as UTF-8 CSV files with headers, one per partition.
+
+    A null is an empty field, an empty text is ``""``, quotes are doubled, spaces are kept, instants are ISO 8601
+    to the microsecond with their offset. Columns must be flat. An existing path is an error.
+    """
+    df.write.csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType, *, line_breaks: bool = False) -> DataFrame:
+    """What :func:`write_csv` wrote. ``line_breaks``: whether texts hold any; files are then read as
+    a whole, and ``\\r\\n`` within a text becomes ``\\n``. A text of one NUL character reads as null. A row
+    that doesn't fit the schema is an error."""
+    # Told from an empty text, an empty field is read as this and then as null.
+    nothing = "\0"
+    return spark.read.csv(path, schema=schema, header=True, escape='"', multiLine=line_breaks, nullValue=nothing, mode="FAILFAST", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")

@@ -1,4 +1,4 @@
-from lodeplan.sources.tables import cut, shared_dir, spread, table
+from lodeplan.sources.tables import cut, read_csv, scratch, shared_dir, spread, table, write_csv
 
 
 def test_cut_keeps_rows_and_schema_in_the_shared_folder(spark):
@@ -23,3 +23,12 @@ def test_spread_only_widens(spark, tmp_path):
 def test_columns_are_pruned_and_filters_pushed(spark, data):
     plan = table(spark, data, "commerce_orders", "tenant_id", "order_id").filter("order_id > 5")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<tenant_id:string,order_id:bigint>" in plan and "GreaterThan(order_id,5)" in plan
+
+
+def test_csv_round_trip(spark):
+    rows = [(1, "", None), (2, None, " two  spaces "), (3, 'a "quoted", text', "back\\slash"), (4, "two\nlines", ""), (5, "ünï — ✓", "1e3"), (5, "ünï — ✓", "1e3")]
+    df = spark.createDataFrame(rows, "n int, a string, b string").selectExpr("*", "timestamp_micros(n + 1700000000000000L) at", "cast(n / 3 as decimal(9, 4)) d", "if(n = 1, null, n > 2) flag")
+    for kept, line_breaks in ((df, True), (df.filter("n <> 4"), False), (df.limit(0), False)):
+        path = scratch(spark, "csv")
+        write_csv(kept, path)
+        assert sorted(map(str, read_csv(spark, path, df.schema, line_breaks=line_breaks).collect())) == sorted(map(str, kept.collect()))
